@@ -16,10 +16,9 @@ an integer. Other columns are not read.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,12 +28,9 @@ from pyspark.sql import functions as F
 
 MASK = 0xA282EAD8
 #: Bytes of records after which a block ends; distinct parts of texts whose ids a task keeps, in each of two generations.
-BLOCK, CACHE = 4 << 20, 400_000
+BLOCK, CACHE = 4 << 20, 600_000
 #: Documents that are encoded at once.
-ROWS = 256
-
-#: Where a space has other white space beside it, or none on one side, a text is not cut at spaces.
-UNEVEN = re.compile(r" \s|\s |^ | $")
+ROWS = 512
 
 
 def masked(data: bytes) -> int:
@@ -51,7 +47,10 @@ EMPTY = record(b"")
 
 
 class Encoder:
-    """A byte-level BPE tokenizer that splits at spaces. Parts of texts between spaces are encoded once while kept."""
+    """A byte-level BPE tokenizer that splits at spaces. Parts of texts between spaces are encoded once while kept.
+
+    A text with a space beside other white space, or at an end, is encoded whole, and so is one with an added token.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,44 +69,43 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, parts: list[str]) -> None:
-        """Encode new parts, joined by the spaces that they stand after, and keep their ids."""
-        if len(self.parts) > CACHE:
-            self.parts, self.old = {}, self.parts
-        new = []
-        for p in parts:
-            if p in self.old:
-                self.parts[p] = self.old[p]
-            else:
-                new.append(p)
+    def _learn(self, parts: Iterable[str]) -> None:
+        """Encode new parts, joined by the spaces that they stand after, and keep their ids.
+
+        A part that is empty or has white space at an end gets None: beside a space, that would split otherwise.
+        """
+        old = self.old
+        self.parts.update((p, old[p]) for p in parts if p in old)
+        new = [p for p in parts if p not in old]
+        bad = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
+        self.parts.update(dict.fromkeys(bad))
+        new = [p for p in new if p not in bad] if bad else new
         if new:
             joined = " " + " ".join(new)
             ids = np.array(self.ids([joined])[0])
             starts = np.flatnonzero(np.frombuffer(joined.encode(), dtype=np.uint8) == 32)
-            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), starts[1:], side="right")
-            bounds = [0, *(cuts).tolist(), len(ids)]
-            data, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-            for p, a, b in zip(new, bounds[:-1], bounds[1:], strict=True):
-                self.parts[p] = data[a * width : b * width]
+            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), starts[1:], side="right") * self.dtype.itemsize
+            data = ids.astype(self.dtype).tobytes()
+            bounds = [0, *cuts.tolist(), len(data)]
+            self.parts.update(zip(new, map(data.__getitem__, map(slice, bounds[:-1], bounds[1:])), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        out: list[bytes | list[str] | None] = []
-        wanted: dict[str, None] = {}
-        for text in texts:
-            if UNEVEN.search(text) or any(t in text for t in self.added):
+        if len(self.parts) > CACHE:
+            self.parts, self.old = {}, self.parts
+        cut = [t.split(" ") for t in texts]
+        heads = [parts.pop(0) for parts in cut]
+        self._learn(set().union(*cut).difference(self.parts))
+        known, out = self.parts.__getitem__, []
+        for head, ids, parts in zip(heads, self.ids(heads), cut, strict=True):
+            try:
+                out.append(b"".join([np.array(ids, dtype=self.dtype).tobytes(), *map(known, parts)]))
+            except TypeError:  # a None among them
                 out.append(None)
-                continue
-            parts = text.split(" ")
-            out.append(parts)
-            wanted.update(dict.fromkeys(parts[1:]))
-        self._learn([p for p in wanted if p not in self.parts])
-        whole = [i for i, parts in enumerate(out) if parts is None]
-        for i, ids in zip(whole, self.ids([texts[i] for i in whole]), strict=True):
-            out[i] = np.array(ids, dtype=self.dtype).tobytes()
-        cut = [i for i, parts in enumerate(out) if isinstance(parts, list)]
-        for i, ids in zip(cut, self.ids([out[i][0] for i in cut]), strict=True):
-            out[i] = b"".join([np.array(ids, dtype=self.dtype).tobytes(), *map(self.parts.__getitem__, out[i][1:])])
+        for i, (text, head, parts) in enumerate(zip(texts, heads, cut, strict=True)):
+            uneven = parts and (not head or head[-1].isspace())
+            if out[i] is None or uneven or any(t in text for t in self.added):
+                out[i] = np.array(self.ids([text])[0], dtype=self.dtype).tobytes()
         return out
 
 
