@@ -18,6 +18,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import ahocorasick
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 #: Parts, and pairs of tokens, whose results a task keeps.
-CACHE = 200_000
+CACHE = 300_000
 #: Code points of texts that are encoded before a batch is handed on.
 BATCH_CHARS = 2_000_000
 
@@ -55,17 +56,17 @@ class Codec:
         self.last = array("i", [lib.eos_id()]).tobytes()
         ids = [i for i in range(lib.get_piece_size()) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i))]
         self.bytes = [-1] * 256
-        self.text = {i: "" for i in range(lib.get_piece_size())}
+        self.text = [""] * lib.get_piece_size()
         self.pieces: dict[str, int] = {}
         self.score = {}
         for i in ids:
             piece = lib.id_to_piece(i)
             if lib.is_byte(i):
-                self.bytes[int(piece[3:5], 16)] = i
+                byte = int(piece[3:5], 16)
+                self.bytes[byte], self.text[i] = i, bytes([byte]).decode(errors="surrogateescape")
             else:
                 self.pieces[piece], self.score[piece], self.text[i] = i, lib.get_score(i), piece.replace(SPACE, " ")
         self.text[lib.unk_id()] = lib.decode([lib.unk_id()])
-        self.byte_of = {i: b for b, i in enumerate(self.bytes)}
         self.spaced = {i for p, i in self.pieces.items() if p.startswith(SPACE)}
         if -1 in self.bytes or lib.normalize("ﬁéé  \t x ") != SPACE + "ﬁéé  \t x ".replace(" ", SPACE):
             raise ValueError("a model with byte pieces and without normalization is needed")
@@ -75,11 +76,16 @@ class Codec:
         for p in longer:
             self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
+        self.shorter = {p: next(p[:k] for k in range(len(p) - 1, 0, -1) if k == 1 or p[:k] in self.pieces) for p in longer}
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in longer):
             self.cut = re.compile(r"(?s).+")
         else:
-            rest = "".join(map(re.escape, sorted(inner - {SPACE})))
-            self.cut = re.compile(f"{SPACE}*[{rest}]+|{SPACE}+|(?s:.)")
+            pairs = {p[i : i + 2] for p in longer for i in range(len(p) - 1)}
+            marks = {c for c in inner - {SPACE} if not c.isalnum()}
+            marks -= {b for a, b in pairs if a.isalnum()}  # no piece has these after a letter or digit
+            word = {c for c in inner if c.isalnum()}
+            kinds = ["".join(map(re.escape, sorted(x))) for x in (marks, word, inner - marks - word - {SPACE})]
+            self.cut = re.compile("{s}*[{0}]*(?:[{1}]+|[{2}][{0}]*)+|{s}*[{0}]+|{s}+|(?s:.)".format(*kinds, s=SPACE))
         self.pairs: dict[tuple[str, str], bool] = {}
         self.parts = _Parts(self.part)
 
@@ -105,36 +111,31 @@ class Codec:
 
     def backtrack(self, text: str) -> list[str]:
         """The pieces and lone characters of text."""
-        n = len(text)
-        at: list[list[int]] = [[1] for _ in text]  # the lengths of the candidates at each place, which come shortest first
-        for end, size in self.automaton.iter(text):
-            at[end - size + 1].append(size)
-        known, compatible = self.pairs.get, self.compatible
+        n, longest = len(text), {}
+        for end, size in self.automaton.iter(text):  # by ascending end, so the longest at each place is last
+            longest[end - size + 1] = size
+        known, compatible, shorter = self.pairs.get, self.compatible, self.shorter.get
         open_ = (1 << (n + 1)) - 1
         tokens: list[str] = []
-        tries: list[int] = []  # of each token, its place among the candidates
-        pos, last, k = 0, "", len(at[0]) - 1
-        while pos < n:
-            sizes = at[pos]
-            while k >= 0:
-                end = pos + sizes[k]
+        pos, last, token = 0, "", text[: longest.get(0, 1)]
+        while True:
+            while token is not None:
+                end = pos + len(token)
                 if open_ >> end & 1:
-                    token = text[pos:end]
                     good = known((last, token))
                     if good or good is None and compatible(last, token):
                         break
-                k -= 1
-            if k >= 0:
-                tokens.append(token)
-                tries.append(k)
-                pos, last = end, token
-                k = len(at[pos]) - 1 if pos < n else -1
-            else:
+                token = shorter(token)
+            if token is None:
                 open_ &= ~(1 << pos)
-                pos -= len(tokens.pop())
-                last = tokens[-1] if tokens else ""
-                k = tries.pop() - 1
-        return tokens
+                token = tokens.pop()
+                pos -= len(token)
+                last, token = tokens[-1] if tokens else "", shorter(token)
+            else:
+                tokens.append(token)
+                if end == n:
+                    return tokens
+                pos, last, token = end, token, text[end : end + longest.get(end, 1)]
 
     def part(self, text: str) -> bytes:
         ids, known = [], self.pieces.get
@@ -151,26 +152,21 @@ class Codec:
         return np.frombuffer(b"".join([*map(self.parts.__getitem__, found), self.last]), dtype=np.int32)
 
     def decode(self, ids: list[int]) -> str:
-        text, byte_of = self.text, self.byte_of
-        if byte_of.keys().isdisjoint(ids):
-            out = "".join([text[i] for i in ids])
-        else:
-            out, run = [], bytearray()
-            for i in ids:
-                if i in byte_of:
-                    run.append(byte_of[i])
-                elif text[i]:
-                    out += [_utf8(run), text[i]]
-                    run.clear()
-            out = "".join(out) + _utf8(run)
-        first = next((i for i in ids if text[i] or i in byte_of), None)
+        out = "".join(map(self.text.__getitem__, ids))
+        if not out.isascii():
+            try:
+                out.encode()
+            except UnicodeEncodeError:  # pieces of bytes from 128 on, which control pieces part
+                runs = [list(run) for some, run in groupby(ids, lambda i: bool(self.text[i])) if some]
+                out = "".join([_utf8("".join([self.text[i] for i in run]).encode(errors="surrogateescape")) for run in runs])
+        first = next((i for i in ids if self.text[i]), None)
         return out[1:] if first in self.spaced else out
 
 
-def _utf8(run: bytearray) -> str:
+def _utf8(run: bytes) -> str:
     """Each byte that is not part of a valid character becomes one replacement character."""
     try:
-        return run.decode() if run else ""
+        return run.decode()
     except UnicodeDecodeError:
         out, i = [], 0
         while i < len(run):
