@@ -1,15 +1,16 @@
 """From bands of signatures to groups of near copies, without the pairs within a group.
 
 Classes of equal sets are found first; only the member with the smallest id goes on. Each band's bucket then links its
-members to its smallest id alone (a star). Verified stars give components; in buckets that still hold several components,
-pairs across components are compared. So every pair of a bucket is either in one component or was compared.
+members to its smallest id alone (a star). Verified stars give components. Members of buckets that still hold several
+components are joined by their rarest set members instead, which loses no link, and pairs across components are compared. So
+every link within a bucket is in one component or was found.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import stored
@@ -55,12 +56,31 @@ def link(
     group = F.coalesce("component", "id")
     placed = shared.join(components(first), "id", "left").select("bucket", "id", group.alias("g"))
     mixed = placed.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("bucket")
-    placed = stored(placed.join(mixed, "bucket").join(about.select("id", "n"), "id"), "placed")
-    x, y = placed.toDF(*[f"{c}_x" for c in placed.columns]), placed.toDF(*[f"{c}_y" for c in placed.columns])
-    near = F.expr(f"g_x < g_y and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
-    pairs = x.join(y, (F.col("bucket_x") == F.col("bucket_y")) & near)
-    pairs = pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
-    return first.union(_verified(pairs.join(stars, ["a", "b"], "left_anti"), about, likely, sets, percent))
+    rest = stored(placed.join(mixed, "bucket").select("id", "g").distinct(), "rest")
+    pairs = _by_rare_members(rest.join(about.select("id", "n"), "id"), sets, percent)
+    return first.union(_verified(pairs, about, likely, sets, percent))
+
+
+def _by_rare_members(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Pairs (a, b) of rows (id, g, n) with different g that may be links, with no other pair lost.
+
+    With all members in one order, the rarest first, two sets that are alike enough share one of their first n -
+    ceil(percent * n / 100) + 1 members. At the first that they share, each must also have enough members left for the overlap
+    that a link needs. So texts that only have a frequent passage in common do not meet.
+    """
+    full = stored(sets(rows.select("id")), "rest-sets")
+    members = full.join(rows, "id").select("id", "g", "n", F.explode("members").alias("member"))
+    often = members.groupBy("member").agg(F.count("*").alias("often"), F.min("g").alias("lo"), F.max("g").alias("hi"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("often", "member"))
+    ranked = members.join(often, "member").withColumn("rank", rank)
+    rare = stored(ranked.filter(f"rank <= n - ceil({percent} * n / 100) + 1 and lo < hi").select("member", "id", "g", "n", "rank"), "rare")
+    x, y = rare.toDF(*[f"{c}_x" for c in rare.columns]), rare.toDF(*[f"{c}_y" for c in rare.columns])
+    near = F.expr(
+        f"g_x < g_y and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
+        f" and (1 + least(n_x - rank_x, n_y - rank_y)) * {100 + percent} >= {percent} * (n_x + n_y)"
+    )
+    pairs = x.join(y, (F.col("member_x") == F.col("member_y")) & near)
+    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, about: DataFrame, likely, sets, percent: int) -> DataFrame:

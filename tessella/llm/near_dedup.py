@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import broadcast_if_small, stored
 from tessella.llm.linking import components, link
-from tessella.llm.textarrays import Permutations, distinct, fixed, lists, mix, runs, texts, words
+from tessella.llm.textarrays import Permutations, distinct, lists, mix, runs, texts, words
 
 ROWS, BANDS, BITS = 6, 48, 4
 PERMUTATIONS = ROWS * BANDS
 #: Standard errors below the threshold at which a pair's estimate rules it out.
 SLACK = 7
 
-SIGNATURES = "doc_id {kind}, n_shingles long, set_1 long, set_2 long, bands array<long>, sig binary"
+SIGNATURES = "doc_id {kind}, n_shingles long, set_1 long, set_2 long, bands array<long>, sig array<long>"
 
 
 def _signatures(shingle: int):
@@ -51,12 +51,12 @@ def _signatures(shingle: int):
                     keys = mix(keys ^ minima[:, k::ROWS])
                 keys = mix(keys + np.arange(BANDS, dtype=np.uint64))
                 low = (mix(minima) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
-                packed = (low[:, ::2] << 4) | low[:, 1::2]
+                packed = np.ascontiguousarray((low[:, ::2] << 4) | low[:, 1::2])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(row, end - row), pa.array(sizes),
                         *[pa.array((s[first[1:]] - s[first[:-1]]).view(np.int64)) for s in sums],
-                        lists([k if n else k[:0] for k, n in zip(keys, sizes, strict=True)], pa.int64()), fixed(packed),
+                        lists([k if n else k[:0] for k, n in zip(keys, sizes, strict=True)], pa.int64()), lists(list(packed.view(np.int64)), pa.int64()),
                     ],
                     names=["doc_id", "n_shingles", "set_1", "set_2", "bands", "sig"],
                 )
@@ -87,15 +87,9 @@ def similarity(a: str, b: str) -> str:
     A function's two minima agree in BITS bits with probability s + (1 - s) / 2**BITS. A half-byte of the exclusive or is
     nought where they agree; those that are not are counted by folding their bits to one.
     """
-    words_ = PERMUTATIONS * BITS // 32
-    part = "cast(conv(substring(hex(sig_{x}), {i}, 8), 16, 10) as bigint)"
-    differ = " + ".join(
-        "bit_count(({v} | shiftright({v}, 1) | shiftright({v}, 2) | shiftright({v}, 3)) & 286331153)".format(
-            v=f"({part.format(x=a, i=8 * k + 1)} ^ {part.format(x=b, i=8 * k + 1)})"
-        )
-        for k in range(words_)
-    )
-    return f"((1 - ({differ}) / {PERMUTATIONS}) - 1 / {1 << BITS}) / (1 - 1 / {1 << BITS})"
+    fold = "shiftright(x ^ y, 1) | shiftright(x ^ y, 2) | shiftright(x ^ y, 3)"
+    differ = f"aggregate(zip_with(sig_{a}, sig_{b}, (x, y) -> bit_count((x ^ y | {fold}) & {0x1111111111111111}L)), 0, (t, d) -> t + d)"
+    return f"((1 - {differ} / {PERMUTATIONS}) - 1 / {1 << BITS}) / (1 - 1 / {1 << BITS})"
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -126,13 +126,6 @@ class Permutations:
         return out
 
 
-def fixed(rows: np.ndarray) -> pa.Array:
-    """A binary column with the bytes of each row."""
-    rows = np.ascontiguousarray(rows)
-    size = rows.dtype.itemsize * rows.shape[1]
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
-
-
 def lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     offsets = np.zeros(len(rows) + 1, dtype=np.int32)
     np.cumsum([len(x) for x in rows], out=offsets[1:])
