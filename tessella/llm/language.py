@@ -159,13 +159,12 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
 def keep_known(documents: DataFrame, model: Model) -> DataFrame:
     """The documents, with all their columns, whose language is known: those without a letter, or null, go."""
     names = documents.columns
-    keyed = documents.select(*names, F.col("text").alias("_text"), _has_letter().alias("_letter"))
+    keyed = documents.select(*names, _has_letter().alias("_letter"))
     score = _predict(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            only = batch.select(["_text", "_letter"]).rename_columns(["text", "_letter"])
-            known = [x != "und" for out in score(iter([only])) for x in out.column("lang_pred").to_pylist()]
+            known = [x != "und" for out in score(iter([batch.select(["text", "_letter"])])) for x in out.column("lang_pred").to_pylist()]
             yield batch.select(names).filter(pa.array(known, pa.bool_()))
 
     return keyed.mapInArrow(run, documents.schema)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import broadcast_if_small, stored
 from tessella.llm.linking import components, link
-from tessella.llm.textarrays import Permutations, distinct, lists, mix, runs, texts, words
+from tessella.llm.textarrays import Permutations, distinct, lists, mix, release_memory, runs, texts, words
 
 ROWS, BANDS, BITS = 6, 48, 4
 PERMUTATIONS = ROWS * BANDS
@@ -60,6 +60,7 @@ def _signatures(shingle: int):
                     ],
                     names=["doc_id", "n_shingles", "set_1", "set_2", "bands", "sig"],
                 )
+        release_memory()
 
     return run
 
@@ -72,6 +73,7 @@ def _sets(shingle: int):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(row, end - row), lists(distinct(hashed, first), pa.int64())], names=["id", "members"]
                 )
+        release_memory()
 
     return run
 

@@ -26,9 +26,11 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from tessella.llm.textarrays import release_memory
+
 SPACE = "▁"
 #: Parts, and pairs of tokens, whose results a task keeps.
-CACHE = 300_000
+CACHE = 250_000
 #: Code points of texts that are encoded before a batch is handed on.
 BATCH_CHARS = 2_000_000
 
@@ -76,6 +78,7 @@ class Codec:
         for p in longer:
             self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
+        self.spelled = {p: p for p in self.pieces}
         self.shorter = {p: next(p[:k] for k in range(len(p) - 1, 0, -1) if k == 1 or p[:k] in self.pieces) for p in longer}
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in longer):
             self.cut = re.compile(r"(?s).+")
@@ -106,6 +109,7 @@ class Codec:
         """Whether merging gives these two tokens again; left is empty at the start of a text."""
         if len(self.pairs) >= CACHE:
             self.pairs.clear()
+        left, right = self.spelled.get(left, left), self.spelled.get(right, right)  # one string for each piece
         known = self.pairs[left, right] = self.merge(left + right) == ([left, right] if left else [right])
         return known
 
@@ -206,6 +210,8 @@ def encode(documents: DataFrame, model: str) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows), pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, row - start), ids], names=["doc_id", "ids"])
+        code.parts.old.clear()
+        release_memory()
 
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
@@ -221,5 +227,6 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
                 part = batch.slice(row, 500)
                 texts = [code.decode(ids.values.to_pylist() if ids.is_valid else []) for ids in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+        release_memory()
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")

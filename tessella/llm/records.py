@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.textarrays import release_memory
+
 MASK = 0xA282EAD8
 #: Bytes of records after which a block ends; distinct parts of texts whose ids a task keeps, in each of two generations.
 BLOCK, CACHE = 4 << 20, 600_000
@@ -132,6 +134,8 @@ def write_records(documents: DataFrame, tokenizer: str, end_id: int, path: str)
                 if size >= BLOCK:
                     yield pa.RecordBatch.from_arrays([pa.array([b"".join(block)], pa.binary())], names=["value"])
                     block, size = [], 0
+        enc.old = {}
+        release_memory()
         if block:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(block)], pa.binary())], names=["value"])
 

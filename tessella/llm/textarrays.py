@@ -1,18 +1,19 @@
 """Words and shingles of many texts at once, as numpy arrays.
 
-Texts come as Arrow columns. They are worked off in blocks of about a megabyte, so memory does not grow with a batch. Words
+Texts come as Arrow columns. They are worked off in blocks of about half a megabyte, so memory does not grow with a batch. Words
 are runs of bytes other than ASCII white space. Hashes are polynomials modulo 2**64, mixed at the end.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LOWER = np.arange(256, dtype=np.uint8)
@@ -21,6 +22,14 @@ LOWER[65:91] += 32
 _powers = {}
 
 
+def release_memory() -> None:
+    """At the end of a task: hand unused memory back, as the worker may wait, or go on with something else."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 ... base**(n-1) modulo 2**64."""
     if len(_powers.get(base, ())) < n:
