@@ -63,13 +63,13 @@ def draw(requests: DataFrame, dist: DataFrame, u: Column) -> DataFrame:
 def negatives(requests: DataFrame, dist: DataFrame, excluded: DataFrame, count: int, seed: int, by: list[str]) -> DataFrame:
     """requests (by, ns) with count draws each, none of them excluded (ns, node): the distribution is that of the others.
 
-    Drawing from the others gives what rejecting excluded draws does. A namespace of which nothing is left raises when read.
+    Drawing from the others gives what rejecting excluded draws does. A namespace of which nothing is left raises.
     """
     rest = dist.join(excluded.select("node").distinct(), "node", "left_anti").filter("prob > 0")
     rest = rest.select("ns", "node", (F.col("prob") / F.sum("prob").over(Window.partitionBy("ns"))).alias("prob"))
-    asked = requests.join(F.broadcast(rest.groupBy("ns").agg(F.count("*").alias("_left"))), "ns", "left")
-    asked = asked.withColumn("ns", F.when(F.col("_left").isNull(), F.raise_error(F.lit("all nodes are excluded"))).otherwise(F.col("ns")).cast("int"))
-    asked = asked.select(*by, "ns", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("draw"))
+    if requests.select("ns").distinct().join(rest.select("ns").distinct(), "ns", "left_anti").limit(1).count():
+        raise ValueError("all nodes are excluded")
+    asked = requests.select(*by, "ns", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("draw"))
     return draw(asked, rest, uniform(seed, *by, "ns", "draw"))
 
 

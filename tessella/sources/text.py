@@ -23,16 +23,20 @@ def _parts() -> Column:
     return F.split(F.trim("value"), " +")
 
 
+def _big(n: int) -> Column:
+    return F.lit(str(n)).cast("decimal(20,0)")
+
+
 def to_id(text: Column) -> Column:
     """An unsigned number of up to 20 digits as a long with the same bits; null if malformed."""
     number = F.when(text.rlike("^[0-9]{1,20}$"), text.cast("decimal(20,0)"))
-    wrapped = F.when(number >= F.lit(1 << 63).cast("decimal(20,0)"), number - F.lit(1 << 64).cast("decimal(20,0)")).otherwise(number)
-    return F.when(number < F.lit(1 << 64).cast("decimal(20,0)"), wrapped.cast("long"))
+    wrapped = F.when(number >= _big(1 << 63), number - _big(1 << 64)).otherwise(number)
+    return F.when(number < _big(1 << 64), wrapped.cast("long"))
 
 
 def from_id(node: Column) -> Column:
     number = node.cast("decimal(20,0)")
-    return F.when(node < 0, number + F.lit(1 << 64).cast("decimal(20,0)")).otherwise(number).cast("string")
+    return F.when(node < 0, number + _big(1 << 64)).otherwise(number).cast("string")
 
 
 def _number(text: Column) -> Column:
