@@ -43,11 +43,12 @@ def swing(contexts: DataFrame, alpha: float = 1.0, threshold: int | None = None,
     contexts = contexts.select("user", "item").distinct()
     sizes = contexts.groupBy("user").agg(F.count("*").alias("n"))
     users = contexts.join(sizes, "user").filter("n > 1")
-    if threshold is not None:
-        degree = F.count("*").over(Window.partitionBy("item"))
-        users = users.withColumn("degree", degree).filter(
-            (F.col("degree") <= threshold) | (uniform(seed, "user", "item") < threshold / F.col("degree"))
-        )
+    if threshold is None:
+        return _swing_exact(users, alpha)
+    degree = F.count("*").over(Window.partitionBy("item"))
+    users = users.withColumn("degree", degree).filter(
+        (F.col("degree") <= threshold) | (uniform(seed, "user", "item") < threshold / F.col("degree"))
+    )
     a, b = users.toDF(*[f"{c}_a" for c in users.columns]), users.toDF(*[f"{c}_b" for c in users.columns])
     pairs = a.join(b, (F.col("item_a") == F.col("item_b")) & (F.col("user_a") < F.col("user_b")))
     pairs = pairs.select(F.col("item_a").alias("i"), F.col("user_a").alias("u"), F.col("user_b").alias("v"), F.col("n_a"), F.col("n_b"))
@@ -59,6 +60,18 @@ def swing(contexts: DataFrame, alpha: float = 1.0, threshold: int | None = None,
     return shared.join(size, ["i", "u", "v"]).groupBy("i", "j").agg(F.sum(part).alias("score"))
 
 
+def _swing_exact(users: DataFrame, alpha: float) -> DataFrame:
+    """Two users' shared items are gathered once, and pairs of users that share one item alone go before pairs of items are made."""
+    a, b = users.toDF("u", "item", "n_u"), users.toDF("v", "item", "n_v")
+    shared = a.join(b, "item").filter("u < v").groupBy("u", "v").agg(
+        F.collect_list("item").alias("items"), F.first("n_u").alias("n_u"), F.first("n_v").alias("n_v")
+    )
+    part = 1 / (F.sqrt(F.col("n_u") - 1.0) * F.sqrt(F.col("n_v") - 1.0) * (alpha + F.size("items") - 1))
+    rows = shared.filter(F.size("items") > 1).select("items", part.alias("part"), F.explode("items").alias("i"))
+    rows = rows.select("i", "part", F.explode("items").alias("j")).filter("i <> j")
+    return rows.groupBy("i", "j").agg(F.sum("part").alias("score"))
+
+
 def top_by_degree(degrees: DataFrame, share: float) -> DataFrame:
     """The share of nodes with the largest out-degree, smaller ids first where equal"""
     sources = degrees.filter("out_degree > 0")
