@@ -9,7 +9,7 @@ import numpy as np
 
 @dataclass(frozen=True)
 class Network:
-    """Fully connected layers of the given sizes, with a leaky rectifier between them, and after the last if asked.
+    """Fully connected layers of the given sizes, with a leaky rectifier, or a sigmoid, between them, and after the last if asked.
 
     With one size there is no layer, and rows pass unchanged.
     """
@@ -17,6 +17,7 @@ class Network:
     sizes: tuple[int, ...]
     alpha: float = 0.01
     last: bool = False
+    sigmoid: bool = False
 
     @property
     def count(self) -> int:
@@ -39,14 +40,15 @@ class Network:
         out = [x]
         for w, b, bent in self._layers(flat):
             z = out[-1] @ w + b
-            out.append(np.where(z > 0, z, self.alpha * z) if bent else z)
+            out.append(z if not bent else 1 / (1 + np.exp(-z)) if self.sigmoid else np.where(z > 0, z, self.alpha * z))
         return out
 
     def backward(self, flat: np.ndarray, out: list[np.ndarray], d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The gradients of the parameters and of x, from that of the last output"""
         parts = []
         for (w, _, bent), x, y in reversed(list(zip(self._layers(flat), out, out[1:]))):
-            d = np.where(y > 0, d, self.alpha * d) if bent else d
+            if bent:
+                d = d * y * (1 - y) if self.sigmoid else np.where(y > 0, d, self.alpha * d)
             parts = [(x.T @ d).ravel(), d.sum(0), *parts]
             d = d @ w.T
         return (np.concatenate(parts) if parts else np.zeros(0)), d
@@ -128,3 +130,60 @@ class FactorizationMachine:
         g_deep, d_deep = self.deep.backward(flat[: self.deep.count], deep, rest)
         d_vecs = quad[:, None, :] * (total[:, None, :] - vecs) + d_deep.reshape(vecs.shape)
         return np.concatenate([g_deep, g_top]), np.concatenate([lin[:, :, None], d_vecs], axis=2).reshape(len(vecs), -1)
+
+
+@dataclass(frozen=True)
+class Attention:
+    """Rows hold the vectors of user groups, of a candidate, and of a history of items, in which a slot of zeros is empty.
+
+    A network weighs each item of the history by itself, the candidate, their difference and their product; the weights' softmax
+    gives one vector, of zeros for an empty history. A network scores it with the other vectors.
+    """
+
+    users: int
+    history: int
+    dim: int
+    att_hidden: int = 8
+    hidden: tuple[int, ...] = (16,)
+
+    @property
+    def scorer(self) -> Network:
+        return Network((4 * self.dim, self.att_hidden, 1), sigmoid=True)
+
+    @property
+    def deep(self) -> Network:
+        return Network(((self.users + 2) * self.dim, *self.hidden, 1), alpha=0.0)
+
+    @property
+    def count(self) -> int:
+        return self.scorer.count + self.deep.count
+
+    def initial(self, seed: int) -> np.ndarray:
+        return np.concatenate([self.scorer.initial(seed), self.deep.initial(seed + 1)])
+
+    def _parts(self, flat: np.ndarray, x: np.ndarray):
+        e = x.reshape(len(x), self.users + 1 + self.history, self.dim)
+        user, cand, hist = e[:, : self.users], e[:, self.users : self.users + 1], e[:, self.users + 1 :]
+        each = np.concatenate([hist, np.broadcast_to(cand, hist.shape), hist - cand, hist * cand], axis=2)
+        scores = self.scorer.outputs(flat[: self.scorer.count], each.reshape(-1, 4 * self.dim))
+        z = np.where((hist != 0).any(2), scores[-1].reshape(hist.shape[:2]) / self.dim**0.5, -np.inf)
+        raised = np.exp(z - np.maximum(z.max(1, keepdims=True), np.finfo(float).min))
+        share = raised / np.maximum(raised.sum(1, keepdims=True), np.finfo(float).tiny)
+        pooled = (share[:, :, None] * hist).sum(1)
+        joined = np.concatenate([user.reshape(len(x), -1), cand[:, 0], pooled], axis=1)
+        return cand, hist, scores, share, self.deep.outputs(flat[self.scorer.count :], joined)
+
+    def outputs(self, flat: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
+        return [x, self._parts(flat, x)[-1][-1]]
+
+    def backward(self, flat: np.ndarray, out: list[np.ndarray], d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cand, hist, scores, share, deep = self._parts(flat, out[0])
+        g_deep, d_joined = self.deep.backward(flat[self.scorer.count :], deep, d)
+        d_user, d_cand, d_pooled = np.split(d_joined, [self.users * self.dim, (self.users + 1) * self.dim], axis=1)
+        d_share = (d_pooled[:, None] * hist).sum(2)
+        d_z = share * (d_share - (share * d_share).sum(1, keepdims=True)) / self.dim**0.5
+        g_scorer, d_each = self.scorer.backward(flat[: self.scorer.count], scores, d_z.reshape(-1, 1))
+        own, other, minus, times = np.split(d_each.reshape(*hist.shape[:2], -1), 4, axis=2)
+        d_hist = share[:, :, None] * d_pooled[:, None] + own + minus + times * cand
+        d_cand = d_cand + (other - minus + times * hist).sum(1)
+        return np.concatenate([g_scorer, g_deep]), np.concatenate([d_user, d_cand, d_hist.reshape(len(d), -1)], axis=1)

@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.lineage import cut
 from tessella.functions.rng import uniform
 from tessella.operators.graph import dense_index
 from tessella.operators.sampling import sample_neighbors
 
 
 def sample_levels(seeds: DataFrame, edges: DataFrame, fanouts: list[int], seed: int) -> tuple[DataFrame, DataFrame]:
-    """(level, node): level 0 has the distinct seeds, each next one the distinct samples of the last; and (level, node, nbr)"""
-    at = seeds.select("node").distinct()
+    """(level, node): level 0 has the distinct seeds, each next one the distinct samples of the last; and (level, node, nbr)
+
+    Each level is drawn once, as all later ones and the blocks read it again.
+    """
+    at = cut(seeds.select("node").distinct())
     levels, links = at.select(F.lit(0).alias("level"), "node"), None
     for k, fanout in enumerate(fanouts):
-        picked = sample_neighbors(at, edges, fanout, seed + k).select(F.lit(k).alias("level"), "node", "nbr").distinct()
+        picked = cut(sample_neighbors(at, edges, fanout, seed + k).select(F.lit(k).alias("level"), "node", "nbr").distinct())
         links = picked if links is None else links.union(picked)
         at = picked.select(F.col("nbr").alias("node")).distinct()
         levels = levels.union(at.select(F.lit(k + 1).alias("level"), "node"))

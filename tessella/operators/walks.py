@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.ids import type_of
+from tessella.functions.lineage import cut
 from tessella.functions.rng import uniform
 from tessella.operators.sampling import next_neighbors, rank_neighbors
 
@@ -32,8 +33,8 @@ def random_walks(starts: DataFrame, edges: DataFrame, length: int, seed: int, we
         here = at.withColumnRenamed("node", "src").drop("step").join(heads, "src")
         moved = next_neighbors(here, ranked, uniform(seed, "start", "epoch", F.lit(step)), weighted)
         at = moved.select("start", "epoch", F.lit(step).alias("step"), F.col("dst").alias("node"))
-        if step % STEPS_PER_CHECKPOINT == 0 and at.sparkSession.sparkContext.getCheckpointDir():
-            at = at.checkpoint()
+        if step % STEPS_PER_CHECKPOINT == 0:
+            at = cut(at)
         out = out.union(at)
     return out
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.lineage import cut
 from tessella.functions.rng import uniform
 from tessella.functions.vectors import dot
 
@@ -46,7 +47,7 @@ def train(pairs: DataFrame, nodes: DataFrame, dim: int = 16, steps: int = 5, rat
     """Input and output tables. Each step is checkpointed, which cuts the lineage and survives lost executors."""
     w_in, w_out = initial(nodes, dim, seed), initial(nodes, dim, seed + 1)
     for k in range(steps):
-        w_in, w_out = (w.checkpoint() for w in step(pairs, w_in, w_out, dim, rate / (1 + 0.1 * k)))
+        w_in, w_out = (cut(w) for w in step(pairs, w_in, w_out, dim, rate / (1 + 0.1 * k)))
     return w_in, w_out
 
 

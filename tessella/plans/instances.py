@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.ids import type_of
-from tessella.operators import graph, lookups, pairs, sampling, subgraphs
+from tessella.functions.rng import uniform
+from tessella.operators import graph, lookups, pairs, sampling, subgraphs, walks
 
 Instances = dict[str, DataFrame]
 
@@ -60,8 +61,6 @@ def supervised_subgraphs(labels: DataFrame, edges: DataFrame, features: DataFram
 
 def semi_supervised_subgraphs(rows: DataFrame, edges: DataFrame, features: DataFrame, fanouts: list[int], num_neg: int = 5, discard: float = 0.0, seed: int = 0) -> Instances:
     """From labelled edges (src, dst, node, labels): edges with negatives, the labels that are not discarded, the subgraph of all"""
-    from tessella.functions.rng import uniform
-
     dist = sampling.negative_distribution(graph.node_frequency(edges))
     out = pairs.edges_with_negatives(rows.select("src", "dst"), dist, num_neg, seed)
     kept = rows.select("node", "labels").distinct().filter(uniform(seed, "node") >= discard)
@@ -100,3 +99,45 @@ def two_tower(samples: DataFrame, freq: DataFrame, item_features: DataFrame | No
         found = lookups.lookup_items(nodes, item_features)
         out["item_features"] = pairs.with_self(found, nodes) if add_node else found
     return out
+
+
+def node_of_rows(samples: DataFrame, kind: int) -> DataFrame:
+    """row, node: the one id of that type among a row's features (row, fid, v); none or several raise when read"""
+    own = F.when(type_of(F.col("fid")) == kind, F.col("fid"))
+    wrong = F.raise_error(F.concat(F.lit(f"not one id of type {kind} in row "), F.col("row")))
+    found = samples.groupBy("row").agg(F.count(own).alias("n"), F.min(own).alias("node"))
+    return found.select("row", F.when(F.col("n") == 1, F.col("node")).otherwise(wrong).cast("long").alias("node"))
+
+
+def graph_two_tower(samples: DataFrame, edges: DataFrame, features: DataFrame, freq: DataFrame, fanouts: list[int], user: int, num_neg: int = 5, add_node: bool = True, seed: int = 0) -> Instances:
+    """two_tower, with each row's user, a node of the graph, and the sampled subgraph of all users. Item features are node features."""
+    users = node_of_rows(samples, user)
+    tower = two_tower(samples, freq, None, num_neg, add_node, seed)
+    items = tower["items"].select(F.col("item").alias("node")).distinct()
+    found = lookups.lookup_features(items, features)
+    tower["item_features"] = pairs.with_self(found, items) if add_node else found
+    return tower | {"users": users} | _subgraph(users.select("node"), edges, features, fanouts, seed)
+
+
+def _ranking(samples: DataFrame, edges: DataFrame, user: int, item: int, length: int, window: int, num_neg: int, seed: int) -> Instances:
+    """The rows with their users and items, and pairs from walks that start once at each of these"""
+    users, items = node_of_rows(samples, user), node_of_rows(samples, item)
+    starts = users.select("node").union(items.select("node"))
+    seqs = walks.sequences(walks.random_walks(starts, edges, length, seed))
+    met = pairs.cross_type_pairs(seqs, "start", "nodes", window, user)
+    dist = sampling.negative_distribution(graph.node_frequency(edges))
+    return {"rows": samples, "users": users, "items": items, "pairs": pairs.edges_with_negatives(met, dist, num_neg, seed)}
+
+
+def graph_ranking(samples: DataFrame, edges: DataFrame, features: DataFrame, fanouts: list[int], user: int, item: int, length: int = 5, window: int = 5, num_neg: int = 5, seed: int = 0) -> Instances:
+    """For ranking and a graph together: samples (row, y, fid, v), user-item pairs from walks, and the subgraph of all users"""
+    out = _ranking(samples, edges, user, item, length, window, num_neg, seed)
+    nodes = out["users"].select("node").union(out["pairs"].select("src"))
+    return out | _subgraph(nodes, edges, features, fanouts, seed)
+
+
+def bipartite_graph_ranking(samples: DataFrame, edges: DataFrame, features: DataFrame, fanouts: list[int], user: int, item: int, length: int = 5, window: int = 5, num_neg: int = 5, seed: int = 0) -> Instances:
+    """The same, with a subgraph of all items beside that of all users"""
+    out = _ranking(samples, edges, user, item, length, window, num_neg, seed)
+    sides = {"user": out["users"].select("node").union(out["pairs"].select("src")), "item": out["items"].select("node").union(out["pairs"].select("dst"))}
+    return out | {f"{side}_{name}": df for side, nodes in sides.items() for name, df in _subgraph(nodes, edges, features, fanouts, seed).items()}

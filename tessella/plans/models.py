@@ -1,4 +1,4 @@
-"""The model families: factorization machines with networks, two towers, and graph networks on sampled subgraphs.
+"""The model families: factorization machines with networks, attention over histories, two towers, and graph networks on sampled subgraphs.
 
 Each model has fit, which makes steps over all rows, and its predictions and embeddings as DataFrames. Labels and features
 that are null raise no error but drop out of joins; features that training did not meet add nothing.
@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.networks import FactorizationMachine, Network, SageLayer
+from tessella.functions.lineage import cut
+from tessella.functions.networks import Attention, FactorizationMachine, Network, SageLayer
 from tessella.functions.vectors import dot, softmax, vector_sum
 from tessella.operators import subgraphs
 from tessella.operators.tensors import mean_aggregate
@@ -50,6 +51,17 @@ class DeepFm:
         return self._scored(rows, _grouped(features)).select("row", _sigmoid(F.col("h")[0]).alias("p"))
 
 
+class Din(DeepFm):
+    """A binary target from features by group: those of the user, then a candidate, then the items of its history.
+
+    Each group of the history is one item, whose weight depends on the candidate. A group without known features is empty.
+    """
+
+    def __init__(self, user_groups: int, history: int, dim: int = 8, att_hidden: int = 8, hidden: tuple[int, ...] = (16,), seed: int = 0):
+        self.groups, self.width, self.seed = user_groups + 1 + history, dim, seed
+        self.dense, self.table = Dense(Attention(user_groups, history, dim, att_hidden, hidden), seed), None
+
+
 class TwoTowers:
     """Users and items in one space. Of a row's items (row, item, col), column 0 was chosen; softmax over the row.
 
@@ -87,7 +99,7 @@ class TwoTowers:
         if self.tables is None:
             self.tables = [new_table(f.select("fid"), self.dim, self.seed + 10 + k) for k, f in enumerate(given)]
         for _ in range(steps):
-            sides = [self._side(k, given[k]).checkpoint() for k in (0, 1)]
+            sides = [cut(self._side(k, given[k])) for k in (0, 1)]
             g = F.col("p") - (F.col("col") == 0).cast("double")
             scored = self._chances(items, *sides).select("row", "item", "u", "i", g.alias("g"))
             size = self.towers[0].net.sizes[-1]
@@ -116,10 +128,9 @@ class GraphSage:
     def _graph(self, nodes: DataFrame, edges: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(row, node) of all levels, blocks, and features by row, written once"""
         levels, links = subgraphs.sample_levels(nodes, edges, self.fanouts, self.seed)
-        levels, links = levels.checkpoint(), links.checkpoint()
-        index = subgraphs.level_index(levels).select("level", F.col("idx").alias("row"), "node").checkpoint()
-        blocks = subgraphs.blocks(levels, links, len(self.fanouts)).checkpoint()
-        return index, blocks, index.join(features, "node").select("row", "fid", F.lit(0).alias("grp"), "v").checkpoint()
+        index = cut(subgraphs.level_index(levels).select("level", F.col("idx").alias("row"), "node"))
+        blocks = cut(subgraphs.blocks(levels, links, len(self.fanouts)))
+        return index, blocks, cut(index.join(features, "node").select("row", "fid", F.lit(0).alias("grp"), "v"))
 
     def _forward(self, index: DataFrame, blocks: DataFrame, features: DataFrame) -> list[DataFrame]:
         """What each layer saw and gave: (row, x, h)"""
@@ -131,7 +142,7 @@ class GraphSage:
             width = layer.net.width
             mean = mean_aggregate(near, vecs, width).withColumnRenamed("vec", "m")
             x = F.concat("h", F.coalesce("m", F.array_repeat(F.lit(0.0), width)))
-            at = layer.forward(own.join(mean, "row", "left").select("row", x.alias("x"))).checkpoint()
+            at = cut(layer.forward(own.join(mean, "row", "left").select("row", x.alias("x"))))
             seen.append(at)
         return seen
 

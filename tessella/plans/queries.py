@@ -15,6 +15,7 @@ from tessella.functions.ids import encode_id, parameter_shard_of, shard_of, sub_
 from tessella.functions.rng import uniform
 from tessella.functions.vectors import dot, l2_normalize
 from tessella.operators import graph, lookups, metrics, neighbors, pairs, sampling, subgraphs, tensors, walks
+from tessella.sources import datasets
 from tessella.streaming import parameters
 
 SEED = 7
@@ -503,3 +504,23 @@ def param_expiry(spark, sf_dir):
 def freq_filter(spark, sf_dir):
     ids_ = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"))
     return parameters.admit(parameters.stream_counts(ids_), 60)
+
+
+def part_numbers(spark, sf_dir):
+    cells = F.array(F.struct(F.lit(1).alias("fid"), F.col("p_size").cast("double").alias("v")), F.struct(F.lit(2).alias("fid"), (F.col("p_retailprice") / 1000).alias("v")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.inline(cells))
+
+
+PART_NUMBERS = "x AS (SELECT p_partkey AS node, 1 AS fid, CAST(p_size AS DOUBLE) AS v FROM part UNION ALL SELECT p_partkey, 2, p_retailprice / 1000 FROM part)"
+
+
+@query(f"WITH {PART_NUMBERS} SELECT node, fid, round(v / (sum(v) OVER (PARTITION BY node) + 1e-7), 6) AS v FROM x WHERE v <> 0")
+def normalized_features(spark, sf_dir):
+    return rounded(datasets.normalize_rows(part_numbers(spark, sf_dir)), "v")
+
+
+@query(f"""WITH {PART_NUMBERS}, s AS (SELECT fid, avg(v) AS m, stddev_pop(v) AS d FROM x WHERE node % 10 < 7 GROUP BY fid)
+SELECT node, fid, round((v - m) / d, 6) AS v FROM x JOIN s USING (fid) WHERE v <> m""")
+def standardized_features(spark, sf_dir):
+    features = part_numbers(spark, sf_dir)
+    return rounded(datasets.standardize(features, features.filter("node % 10 < 7")), "v")

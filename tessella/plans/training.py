@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.lineage import cut
 from tessella.functions.rng import uniform
 from tessella.functions.vectors import vector_sum
 
@@ -51,7 +52,7 @@ def update(table: DataFrame, grads: DataFrame, rate: float) -> DataFrame:
     moved = table.join(grads, "id", "left").withColumn("acc", F.when(F.col("g").isNull(), F.col("acc")).otherwise(acc))
     by = F.zip_with("g", "acc", lambda g, a: rate * g / F.sqrt(a + EPS))
     vec = F.when(F.col("g").isNull(), F.col("vec")).otherwise(F.zip_with("vec", by, lambda v, b: v - b))
-    return moved.select("id", vec.alias("vec"), "acc").checkpoint()
+    return cut(moved.select("id", vec.alias("vec"), "acc"))
 
 
 class Dense:
@@ -85,7 +86,7 @@ class Dense:
                     yield pd.DataFrame({"row": b["row"], "dx": list(dx), "dense": None})
             yield pd.DataFrame({"row": [None], "dx": [None], "dense": [total]})
 
-        return rows.select("row", "x", "d").mapInPandas(run, "row long, dx array<double>, dense array<double>").checkpoint()
+        return cut(rows.select("row", "x", "d").mapInPandas(run, "row long, dx array<double>, dense array<double>"))
 
     def step(self, grads: DataFrame, rate: float) -> None:
         cells = grads.filter("dense is not null").select(F.posexplode("dense").alias("pos", "g")).groupBy("pos").agg(F.sum("g").alias("g"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.functions.networks import FactorizationMachine, Network, SageLayer
+from tessella.functions.networks import Attention, FactorizationMachine, Network, SageLayer
 from tessella.operators import metrics
 from tessella.plans import models
 
@@ -12,6 +12,7 @@ from tessella.plans import models
 @pytest.mark.parametrize("net, width", [
     (Network((4, 3, 2)), 4), (Network((4, 3), last=True), 4), (Network((4,)), 4), (SageLayer(2, 3), 4),
     (FactorizationMachine(2, 3, (4,)), 8), (FactorizationMachine(2, 3, (4,), joint=True), 8),
+    (Network((4, 3, 2), last=True, sigmoid=True), 4), (Attention(1, 2, 2, 3, (4,)), 8),
 ])
 def test_gradients(net, width):
     rng = np.random.default_rng(0)
@@ -68,3 +69,16 @@ def test_graph_sage(spark):
     same = np.mean([vecs[a] @ vecs[b] for a in range(10) for b in range(a) if a // 5 == b // 5])
     other = np.mean([vecs[a] @ vecs[b] for a in range(10) for b in range(a) if a // 5 != b // 5])
     assert len(vecs) == 10 and same > other
+
+
+def test_attention(spark):
+    net = Attention(1, 2, 2)
+    x = np.array([[1.0, 2, 3, 4, 0, 0, 0, 0], [1, 2, 3, 4, 0, 0, 5, 6]])
+    cand, hist, _, share, _ = net._parts(net.initial(0), x)
+    assert share[0].tolist() == [0, 0] and share[1].tolist() == [0, 1]
+    rows = [(i, g, 100 * (g > 0) + (i >> g) % 2) for i in range(8) for g in range(3)]
+    features = spark.createDataFrame([(i, f, g, 1.0) for i, g, f in rows], "row long, fid long, grp int, v double").cache()
+    labels = spark.createDataFrame([(i, (i >> 1) % 2) for i in range(8)], "row long, y int").cache()
+    model = models.Din(1, 1, 4, seed=1).fit(labels, features, steps=4, rate=0.3)
+    scored = model.predict(labels, features).join(labels, "row").select(F.col("p").alias("score"), "y")
+    assert metrics.auc(scored).first().auc == 1.0
