@@ -520,7 +520,7 @@ def normalized_features(spark, sf_dir):
 
 
 @query(f"""WITH {PART_NUMBERS}, s AS (SELECT fid, avg(v) AS m, stddev_pop(v) AS d FROM x WHERE node % 10 < 7 GROUP BY fid)
-SELECT node, fid, round((v - m) / d, 6) AS v FROM x JOIN s USING (fid) WHERE v <> m""")
+SELECT node, fid, round((v - m) / d, 6) + 0.0 AS v FROM x JOIN s USING (fid) WHERE v <> m""")
 def standardized_features(spark, sf_dir):
     features = part_numbers(spark, sf_dir)
     return rounded(datasets.standardize(features, features.filter("node % 10 < 7")), "v")
