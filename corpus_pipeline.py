@@ -11,8 +11,8 @@ from tessella.llm.queries import PIECES
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from all labelled documents; those without a letter go, as no language can be told."""
-    return language.keep_known(docs, language.train(docs))
+    """Learns from all labelled documents; those go that have no letter, or that the decoder puts far from all it learned."""
+    return language.keep_known(docs, language.train_with_limits(docs))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

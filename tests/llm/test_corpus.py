@@ -245,6 +245,16 @@ def test_language(spark, docs, awkward, empty):
     assert len({tuple(r) for r in code}) == 40
 
 
+def test_language_rejects(spark):
+    rng = random.Random(4)
+    alphabets = {"aa": "abcde", "bb": "fghij", "cc": "klmno", "dd": "éèñçà"}
+    prose = lambda letters: " ".join("".join(rng.choices(letters, k=5)) for _ in range(20))
+    made = [(i, prose(alphabets[lang]), lang if i % 3 else None) for i in range(600) for lang in [rng.choice([*alphabets])]]
+    junk = [(1000 + i, prose("pqrstuvwxyz"), None) for i in range(20)] + [(1100, "日本語 の テキスト " * 9, None), (1101, "x" * 3000, None)]
+    rows = spark.createDataFrame([*made, *junk], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.known_language(spark, rows, "").collect()} == {i for i, _, _ in made}
+
+
 def test_token_counts(spark, awkward, empty):
     lib = pytest.importorskip("tokenizers").Tokenizer.from_file(public_tokenizers.path(queries.BYTE_BPE))
     ranks = public_tokenizers.path(queries.BYTE_BPE_RANKS)
