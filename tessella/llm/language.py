@@ -252,13 +252,16 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(documents: DataFrame, model: Model) -> DataFrame:
-    """The documents, with all their columns, whose language is known: those without a letter, null, or beyond a limit go."""
+    """The documents, with all their columns, without those that have no letter, are null, or lie beyond a limit.
+
+    A model without limits, as where no language was learned, rejects no text with a letter.
+    """
     names = documents.columns
     keyed = documents.select(*names, _has_letter().alias("_letter"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = np.array(batch.column("_letter").to_pylist(), dtype=bool) & bool(model.langs)
+            known = np.array(batch.column("_letter").to_pylist(), dtype=bool)
             if model.limits is not None:
                 for row, end, data, at in texts(batch.column("text")):
                     known[row:end] &= model.farness(data, at) <= model.limits[_length(at)]

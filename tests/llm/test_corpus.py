@@ -255,6 +255,12 @@ def test_language_rejects(spark):
     assert {r.doc_id for r in corpus_pipeline.known_language(spark, rows, "").collect()} == {i for i, _, _ in made}
 
 
+def test_language_unlabelled(docs):
+    rows = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.known_language(None, rows, "")
+    assert {r.doc_id for r in kept.collect()} == {i for i, t in corpus() if any(c.isalpha() for c in t or "")}
+
+
 def test_token_counts(spark, awkward, empty):
     lib = pytest.importorskip("tokenizers").Tokenizer.from_file(public_tokenizers.path(queries.BYTE_BPE))
     ranks = public_tokenizers.path(queries.BYTE_BPE_RANKS)
