@@ -28,16 +28,20 @@ from pyspark.sql import functions as F
 from tessella.llm.common import broadcast_if_small, stored
 
 TOKEN = re.compile(r"[^\W\d_]+")
-#: The prior of a token is FLOOR plus its share of PRIOR tokens; the least z for a toxic token; the most tokens kept (by z).
+#: The prior of a token is FLOOR plus its share of PRIOR tokens; the least z for a toxic token; the most tokens that tasks look up
+#: themselves: if more are toxic, these are the tokens in most labelled documents, and all others are joined.
 FLOOR, PRIOR, LEAST_Z, MAX_TERMS = 0.5, 500.0, 3.0, 20_000
 DRIFT = 0.25
 #: Distinct tokens after which a task hands on its counts.
 FLUSH = 200_000
+#: Scores are summed up in steps of 1 / STEPS, at their mean, to find lambda.
+STEPS = 256
 
 
 @dataclass
 class Model:
-    scores: dict[str, float]
+    scores: dict[str, float | None]  # None: known not to be toxic
+    rest: DataFrame | None = None  # term, s: the toxic tokens that are not in scores
     rate: float = 1.0  # lambda
     k: float = 1.0
     intercept: float = 0.0
@@ -82,9 +86,10 @@ def learn_terms(documents: DataFrame, labels: DataFrame) -> Model:
     y0, y1 = F.col("n0") + prior, F.col("n1") + prior
     score = F.log(y1 / (all_1 + PRIOR - y1)) - F.log(y0 / (all_0 + PRIOR - y0))
     z = score / F.sqrt(1 / y0 + 1 / y1)
-    top = counts.select("term", "n0", score.alias("s"), z.alias("z")).filter(F.col("z") >= LEAST_Z)
-    top = top.orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()
-    values = [(r.s, r.n0 / all_0) for r in top]
+    top = stored(counts.select("term", "n0", score.alias("s"), z.alias("z")).filter(F.col("z") >= LEAST_Z).select("term", "n0", "s"), "toxic")
+    mean = F.coalesce(F.sum(F.col("n0") * F.col("s")) / F.nullif(F.sum("n0"), F.lit(0)), F.avg("s"))
+    steps = top.groupBy(F.floor(F.col("s") * STEPS).alias("step")).agg(mean.alias("s"), F.sum("n0").alias("n0"), F.count("*").alias("n")).collect()
+    values = [(r.s, r.n0 / all_0) for r in steps]
     rest = 1 - sum(p for _, p in values)
     low, high = 0.0, 1.0
     excess = lambda x: sum(p * math.exp(min(x * s, 500)) for s, p in values) + rest * math.exp(-x * DRIFT) - 1
@@ -93,7 +98,12 @@ def learn_terms(documents: DataFrame, labels: DataFrame) -> Model:
     for _ in range(60):
         middle = (low + high) / 2
         low, high = (low, middle) if excess(middle) > 0 else (middle, high)
-    return Model({r.term: r.s for r in top}, rate=max(low, 0.05))
+    rate = max(low, 0.05)
+    if sum(r.n for r in steps) <= MAX_TERMS:
+        return Model({r.term: r.s for r in top.select("term", "s").collect()}, rate=rate)
+    often = stored(counts.orderBy(F.desc(F.col("n0") + F.col("n1")), "term").limit(MAX_TERMS).select("term"), "often")
+    scores = often.join(top.select("term", "s"), "term", "left").collect()
+    return Model({r.term: r.s for r in scores}, stored(top.join(F.broadcast(often), "term", "left_anti").select("term", "s"), "rest"), rate=rate)
 
 
 def maximal_segments(places: list[int], scores: list[float]) -> list[tuple[int, int, float]]:
@@ -120,30 +130,79 @@ def maximal_segments(places: list[int], scores: list[float]) -> list[tuple[int,
     return [(a, b, after - before) for a, b, before, after in out]
 
 
+SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
+
+
+def _spans(at: list[int], scores: list[float]) -> list[dict]:
+    return [{"start": a, "end": b, "score": s} for a, b, s in maximal_segments(at, scores)]
+
+
 def find_passages(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, and all segments (start, end, score) of each document, where start and end count its tokens."""
     kind = documents.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_tokens long, segments array<struct<start:int,end:int,score:double>>"
     scores = model.scores
+    if model.rest is not None:
+        return _joined_hits(documents, model).mapInArrow(_segments, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
         for batch in batches:
             sizes, found = [], []
             for text in batch.column("text").to_pylist():
                 tokens = TOKEN.findall((text or "").lower())
                 at = [i for i, t in enumerate(tokens) if t in scores]
                 sizes.append(len(tokens))
-                found.append([
-                    {"start": a, "end": b, "score": s} for a, b, s in maximal_segments(at, [scores[tokens[i]] for i in at])
-                ])
+                found.append(_spans(at, [scores[tokens[i]] for i in at]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(span))],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(SPAN))],
                 names=["doc_id", "n_tokens", "segments"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, segments array<struct<start:int,end:int,score:double>>"
+    return documents.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [_spans([h["place"] for h in hits], [h["score"] for h in hits]) for hits in batch.column("hits").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("n_tokens"), pa.array(found, pa.list_(SPAN))], names=["doc_id", "n_tokens", "segments"]
+        )
+
+
+def _joined_hits(documents: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens and hits (place, score) in order: the tokens in scores are looked up, all others joined to rest."""
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    scores = model.scores
+    hit, site = (pa.struct(x) for x in ([("place", pa.int32()), ("score", pa.float64())], [("term", pa.string()), ("places", pa.list_(pa.int32()))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, known, others = [], [], []
+            for text in batch.column("text").to_pylist():
+                tokens, hits, places = TOKEN.findall((text or "").lower()), [], {}
+                for i, t in enumerate(tokens):
+                    if t not in scores:
+                        places.setdefault(t, []).append(i)
+                    elif scores[t] is not None:
+                        hits.append({"place": i, "score": scores[t]})
+                sizes.append(len(tokens))
+                known.append(hits)
+                others.append([{"term": t, "places": p} for t, p in places.items()])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(known, pa.list_(hit)), pa.array(others, pa.list_(site))],
+                names=["doc_id", "n_tokens", "known", "others"],
+            )
+
+    hits = "array<struct<place:int,score:double>>"
+    read = documents.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {kind}, n_tokens long, known {hits}, others array<struct<term:string,places:array<int>>>"
     )
+    read = stored(read.withColumn("row", F.monotonically_increasing_id()), "sites")
+    sites = read.select("row", F.explode("others").alias("x")).select("row", "x.term", "x.places").join(broadcast_if_small(model.rest), "term")
+    more = F.transform("places", lambda p: F.struct(p.alias("place"), F.col("s").alias("score")))
+    more = sites.groupBy("row").agg(F.flatten(F.collect_list(more)).alias("more"))
+    both = F.array_sort(F.concat("known", F.coalesce("more", F.array().cast(hits))))
+    return read.select("row", "doc_id", "n_tokens", "known").join(more, "row", "left").select("doc_id", "n_tokens", both.alias("hits"))
 
 
 def _evidence(model: Model):

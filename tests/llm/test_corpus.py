@@ -320,6 +320,25 @@ def test_toxicity(spark, docs, awkward, empty):
     assert toxicity.toxicity(empty, marks, ~held_out()).count() == 0
 
 
+def test_toxicity_of_many_terms(spark, monkeypatch):
+    """No toxic token is lost, however few of them a task looks up itself."""
+    rng = random.Random(9)
+    rows, labels = [(None, None), (4, "zz zz bad0 bad9 bad9 zz bad5")], []
+    for i in range(300):
+        words = ["".join(rng.choices("abcde", k=2)) for _ in range(30)]
+        labels.append((i, int(i % 3 == 0)))
+        words[7:7] = [f"bad{'klmnopqrst'[(i // 3 + k) % 10]}" for k in range(4)] if i % 3 == 0 else []
+        rows.append((i, " ".join(words)))
+    rows.append(rows[5])
+    made, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    read = lambda: sorted(map(repr, toxicity.toxicity(made, marks, F.lit(True)).collect()))
+    whole = read()
+    assert len(toxicity.learn_terms(made, marks).scores) == 10
+    monkeypatch.setattr(toxicity, "MAX_TERMS", 3)
+    assert toxicity.learn_terms(made, marks).rest.count() >= 7
+    assert read() == whole
+
+
 def test_secrets(docs, awkward, empty):
     rules = {
         "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8),
