@@ -140,6 +140,30 @@ def edited_likeness(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     )
 
 
+def _identities(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family = Permutations(PERMUTATIONS, seed=2)
+        for batch in batches:
+            for row, end, data, at in texts(batch.column("text")):
+                hashed, _, first = runs(words(data, at, lower=True), shingle, short=True)
+                least = family.minima(hashed, first) >> np.uint64(32)
+                keys = np.zeros((end - row, PERMUTATIONS // ROWS), dtype=np.uint64)
+                for k in range(ROWS):
+                    keys = mix(keys ^ least[:, k::ROWS])
+                keys = mix(keys + np.arange(PERMUTATIONS // ROWS, dtype=np.uint64))
+                sets = distinct(hashed, first)
+                sums = [pa.array(np.array([x.sum(dtype=np.uint64) for x in y], dtype=np.uint64).view(np.int64)) for y in (sets, [mix(x) for x in sets])]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(row, end - row), pa.array(np.array([len(x) for x in sets], dtype=np.int64)), *sums,
+                        lists([k if len(x) else k[:0] for k, x in zip(keys, sets, strict=True)], pa.int64()),
+                    ],
+                    names=["doc_id", "n", "set_1", "set_2", "bands"],
+                )
+
+    return run
+
+
 def _members(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,30 +177,30 @@ def _members(shingle: int):
 
 
 def similar_pairs(documents: DataFrame, shingle: int = SHINGLE, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Classes (doc_id, class_id) of equal fingerprints, and verified links (a, b) between classes in star form.
+    """Classes (doc_id, class_id) of equal shingle sets, by their size and two hashes, and verified links (a, b) between classes.
 
-    Bands of ROWS values are joined in Spark; pairs are verified by 100 * intersection >= percent * union of their shingle
-    sets. Copies are not expanded into pairs: components of links are those of all similar pairs that share a band. A class
-    of equal fingerprints holds texts that are alike but for a chance of (similarity ** PERMUTATIONS).
+    Bands of ROWS minima are joined in Spark; pairs are verified by 100 * intersection >= percent * union of their shingle
+    sets. Copies are not expanded into pairs: components of links are those of all similar pairs that share a band.
     """
-    marks = stored(fingerprints(documents.filter("doc_id is not null"), shingle), "fingerprints")
-    classes = marks.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
-    members = marks.join(classes, "fingerprint").select("doc_id", "class_id")
-    heads = classes.filter(F.col("fingerprint") != "f" * (8 * PERMUTATIONS))
-    bands = F.transform(
-        F.sequence(F.lit(0), F.lit(PERMUTATIONS // ROWS - 1)),
-        lambda i: F.xxhash64(i, F.substr("fingerprint", i * (8 * ROWS) + 1, F.lit(8 * ROWS))),
-    )
-    buckets = heads.select(F.col("class_id").alias("id"), F.explode(bands).alias("bucket"))
     kind = documents.schema["doc_id"].dataType.simpleString()
+    same = ["n", "set_1", "set_2"]
+    named = documents.filter("doc_id is not null").select("doc_id", "text")
+    marks = stored(named.mapInArrow(_identities(shingle), f"doc_id {kind}, n long, set_1 long, set_2 long, bands array<long>"), "identities")
+    classes = stored(marks.groupBy(*same).agg(F.min("doc_id").alias("class_id")), "classes")
+    members = marks.select("doc_id", *same).join(classes, same).select("doc_id", "class_id")
+    heads = marks.filter("n > 0").withColumnRenamed("doc_id", "class_id").join(classes, [*same, "class_id"])
+    heads = heads.withColumnRenamed("class_id", "id")
+    buckets = heads.select("id", F.explode("bands").alias("bucket"))
+    about = heads.select("id", "n", F.lit(b"").alias("sig")).dropDuplicates(["id", "n"])
 
     def sets(ids: DataFrame) -> DataFrame:
         chosen = documents.select(F.col("doc_id").alias("id"), "text").join(broadcast_if_small(stored(ids, "ids")), "id", "left_semi")
         return chosen.mapInArrow(_members(shingle), f"id {kind}, members array<long>")
 
-    full = sets(buckets.select("id").distinct())
-    about = stored(full.select("id", F.size("members").cast("long").alias("n"), F.lit(b"").alias("sig")).dropDuplicates(["id"]), "sizes")
-    return members, link(buckets, about, lambda a, b: "true", sets, percent)
+    links = link(buckets, about, lambda a, b: "true", sets, percent)
+    if marks.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # ids that rows repeat join their classes
+        links = links.union(members.select(F.col("class_id").alias("a"), F.col("doc_id").alias("b")))
+    return members, links
 
 
 def groups(documents: DataFrame, shingle: int = SHINGLE, percent: int = 80) -> DataFrame:

@@ -42,6 +42,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_similar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.groups(table(spark, sf_dir, "documents"))
+
+
 def op4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "records")
     records.write_records(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), END_ID, path)
@@ -102,7 +106,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_decontamination, op2_sentencepiece, op3_fingerprints, op4_records, op5_repeats, op6_language, op7_near_duplicates,
+        op1_decontamination, op2_sentencepiece, op3_fingerprints, op3_similar_groups, op4_records, op5_repeats, op6_language, op7_near_duplicates,
         op8_token_counts, op9_toxicity, op10_secrets,
     )
 }

@@ -186,6 +186,21 @@ def test_fingerprints(docs, awkward, empty):
     assert all(found[i] == g for i, g in groups.items() if i not in blank)
 
 
+def test_equal_fingerprints_of_unequal_texts(spark):
+    """A link to a member that its representative does not have."""
+    rng = random.Random(3)
+    text = [f"{w:x}" for w in rng.sample(range(1 << 30), 2004)]  # 2000 shingles
+    for at in range(1000, 1900):
+        other = [*text[:at], "changed", *text[at + 1 :]]
+        a, b = fingerprints.minima(fingerprints.pa.array([" ".join(text), " ".join(other)]), 5)
+        if (a == b).all():
+            break
+    third = other[-1604:]  # 1600 shingles, all of other's, all but five of text's
+    rows = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(other)), (3, " ".join(third))], "doc_id long, text string")
+    assert (a == b).all() and {tuple(r) for r in fingerprints.groups(rows).collect()} == {(1, 1), (2, 1), (3, 1)}
+    assert "op3_similar_groups" in queries.QUERIES
+
+
 def test_records(spark, awkward, empty, tmp_path):
     lib = pytest.importorskip("tokenizers").Tokenizer.from_file(public_tokenizers.path(queries.BYTE_BPE))
     texts = dict(corpus()) | {None: dict(corpus())[3]}
