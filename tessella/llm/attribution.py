@@ -111,7 +111,7 @@ def field_tokens(rows: DataFrame, fields: list[str], ranks: str, pattern: str, r
     kind = rows.schema["doc_id"].dataType.simpleString()
     parts = [F.concat(F.coalesce(f, F.lit("")), F.lit(FIELD_END if i + 1 < len(fields) else "")) for i, f in enumerate(fields)]
     sizes = F.array(*[F.octet_length(p) for p in parts])
-    joined = rows.select("doc_id", F.concat(*parts).alias("text"), sizes.alias("_sizes"))
+    joined = rows.select("doc_id", F.concat(*parts).alias("text"), sizes.alias("_sizes"))  # no other column, so no name clashes
     run = _counts(ranks, pattern, rule, lambda _, more: np.cumsum(more["_sizes"]), ["_sizes"])
     return joined.mapInArrow(run, OUT.format(kind=kind))
 

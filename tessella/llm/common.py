@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructField, StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Rows beyond which a side is no longer broadcast. With the rows of under 100 bytes that are broadcast here, under 20 MB.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes beyond which a side is no longer broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+
+#: The paths that each settled() under way has written, innermost last.
+_under_way: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,20 +24,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only on one machine may it be unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         where = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
+    """A fresh path in the shared folder, removed when the driver ends at the latest."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    files, where = _hadoop_path(spark, path)
+    files.deleteOnExit(where)
+    if _under_way:
+        _under_way[-1].append(path)
     return path
 
 
@@ -44,9 +57,43 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if df, a stored or otherwise cheap table of narrow rows, is counted to be small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that make() gives, stored. What make() itself stored on the way is removed then."""
+    path = new_path(spark, name)
+    _under_way.append([])
+    try:
+        df = make()
+        df.write.parquet(path)
+        schema = df.schema
+    finally:
+        for used in _under_way.pop():
+            files, where = _hadoop_path(spark, used)
+            files.delete(where, True)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _width(field: StructField) -> Column:
+    """The bytes of a value, about."""
+    if isinstance(field.dataType, StringType | BinaryType):
+        return 16 + F.coalesce(F.octet_length(field.name), F.lit(0))
+    if isinstance(field.dataType, ArrayType | MapType | StructType):
+        return 16 + F.coalesce(F.octet_length(F.to_json(F.struct(field.name))), F.lit(0))
+    return F.lit(16)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only if df, a stored or otherwise cheap table, is counted to have few rows and bytes."""
+    width = sum((_width(f) for f in df.schema.fields), F.lit(0)).cast("long")
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    """name, with as many underscores after it as it takes not to be a column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def ascii_lower(col: Column) -> Column:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import ascii_lower, broadcast_if_small, row_key, stored, text_or_empty
+from tessella.llm.common import ascii_lower, broadcast_if_small, free_name, row_key, stored, text_or_empty
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -126,6 +126,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = 10) ->
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """The documents, with all their columns, in which no window of the benchmark occurs."""
-    hit = stored(contamination(documents, benchmark, size).filter("n_hit > 0").select("doc_key").distinct(), "hit")
-    hit = broadcast_if_small(hit.withColumnRenamed("doc_key", "_hit_key"))
-    return documents.join(hit, row_key() == F.col("_hit_key"), "left_anti")
+    own = free_name("_hit", documents)
+    hit = contamination(documents, benchmark, size).filter("n_hit > 0").select(F.col("doc_key").alias(own)).distinct()
+    return documents.join(broadcast_if_small(stored(hit, "hit")), row_key() == F.col(own), "left_anti")

@@ -1,8 +1,8 @@
 """Document fingerprints: MinHash over word shingles.
 
 A fingerprint is the high half of the minimum of each of PERMUTATIONS universal hash functions over a text's shingles, in
-hex. Equal values of two fingerprints are counted as their likeness. similar_pairs joins fingerprints by bands in Spark and
-verifies pairs by the Jaccard similarity of their full shingle sets.
+hex. Equal values of two fingerprints are counted as their likeness. groups joins fingerprints by bands in Spark and verifies
+pairs by the Jaccard similarity of their full shingle sets.
 
 Defined results: a null text is empty. A text of fewer words than a shingle has its whole sequence as one; one without
 words has none, and its fingerprint, all ones, is like itself alone. Equal texts have equal fingerprints. Rows that repeat
@@ -21,11 +21,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import broadcast_if_small, stored, text_or_empty
-from tessella.llm.linking import components, link
-from tessella.llm.textarrays import Permutations, distinct, lists, mix, runs, texts, words
+from tessella.llm.common import stored, text_or_empty
+from tessella.llm.linking import Classes
+from tessella.llm.textarrays import Permutations, distinct, lists, members_of, mix, runs, set_hashes, texts, words
 
-#: Bands of 6 miss a pair at similarity 0.8 with a probability of 0.002; those of similar_pairs are of 4: under 1e-7.
+#: Bands of 6 miss a pair at similarity 0.8 with a probability of 0.002; those of groups are of 4: under 1e-7.
 PERMUTATIONS = 128
 ROWS = 4
 SHINGLE = 5
@@ -152,10 +152,11 @@ def _identities(shingle: int):
                     keys = mix(keys ^ least[:, k::ROWS])
                 keys = mix(keys + np.arange(PERMUTATIONS // ROWS, dtype=np.uint64))
                 sets = distinct(hashed, first)
-                sums = [pa.array(np.array([x.sum(dtype=np.uint64) for x in y], dtype=np.uint64).view(np.int64)) for y in (sets, [mix(x) for x in sets])]
+                sizes = np.array([len(x) for x in sets], dtype=np.int64)
+                sums = set_hashes(np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(row, end - row), pa.array(np.array([len(x) for x in sets], dtype=np.int64)), *sums,
+                        batch.column("doc_id").slice(row, end - row), pa.array(sizes), *map(pa.array, sums),
                         lists([k if len(x) else k[:0] for k, x in zip(keys, sets, strict=True)], pa.int64()),
                     ],
                     names=["doc_id", "n", "set_1", "set_2", "bands"],
@@ -164,47 +165,19 @@ def _identities(shingle: int):
     return run
 
 
-def _members(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, end, data, at in texts(batch.column("text")):
-                hashed, _, first = runs(words(data, at, lower=True), shingle, short=True)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(row, end - row), lists(distinct(hashed, first), pa.int64())], names=["id", "members"]
-                )
-
-    return run
-
-
-def similar_pairs(documents: DataFrame, shingle: int = SHINGLE, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Classes (doc_id, class_id) of equal shingle sets, by their size and two hashes, and verified links (a, b) between classes.
+def similar_classes(documents: DataFrame, shingle: int = SHINGLE, percent: int = 80) -> Classes:
+    """Classes of equal shingle sets, whose links() are verified by 100 * intersection >= percent * union of the sets.
 
-    Bands of ROWS minima are joined in Spark; pairs are verified by 100 * intersection >= percent * union of their shingle
-    sets. Copies are not expanded into pairs: components of links are those of all similar pairs that share a band.
+    Bands of ROWS minima are joined in Spark. Copies are not expanded into pairs: components of links are those of all similar
+    pairs that share a band.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
-    same = ["n", "set_1", "set_2"]
-    named = documents.filter("doc_id is not null").select("doc_id", "text")
-    marks = stored(named.mapInArrow(_identities(shingle), f"doc_id {kind}, n long, set_1 long, set_2 long, bands array<long>"), "identities")
-    classes = stored(marks.groupBy(*same).agg(F.min("doc_id").alias("class_id")), "classes")
-    members = marks.select("doc_id", *same).join(classes, same).select("doc_id", "class_id")
-    heads = marks.filter("n > 0").withColumnRenamed("doc_id", "class_id").join(classes, [*same, "class_id"])
-    heads = heads.withColumnRenamed("class_id", "id")
-    buckets = heads.select("id", F.explode("bands").alias("bucket"))
-    about = heads.select("id", "n", F.lit(b"").alias("sig")).dropDuplicates(["id", "n"])
-
-    def sets(ids: DataFrame) -> DataFrame:
-        chosen = documents.select(F.col("doc_id").alias("id"), "text").join(broadcast_if_small(stored(ids, "ids")), "id", "left_semi")
-        return chosen.mapInArrow(_members(shingle), f"id {kind}, members array<long>")
-
-    links = link(buckets, about, lambda a, b: "true", sets, percent)
-    if marks.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # ids that rows repeat join their classes
-        links = links.union(members.select(F.col("class_id").alias("a"), F.col("doc_id").alias("b")))
-    return members, links
+    marks = documents.select("doc_id", "text").mapInArrow(_identities(shingle), f"doc_id {kind}, n long, set_1 long, set_2 long, bands array<long>")
+    marks = stored(marks.withColumn("sig", F.array().cast("array<long>")), "identities")
+    return Classes(documents, marks, members_of(shingle), lambda a, b: "true", percent)
 
 
 def groups(documents: DataFrame, shingle: int = SHINGLE, percent: int = 80) -> DataFrame:
-    """doc_id and group_id, the smallest doc_id reachable by similar pairs. Rows without a doc_id have none."""
-    members, links = similar_pairs(documents, shingle, percent)
-    reached = components(links).select(F.col("id").alias("class_id"), "component")
-    return members.join(reached, "class_id", "left").select("doc_id", F.coalesce("component", "class_id").alias("group_id"))
+    """doc_id and group_id, the smallest doc_id reachable by similar pairs; texts without words are alone, rows without a doc_id in no group."""
+    found = similar_classes(documents, shingle, percent).groups()
+    return found.select("doc_id", F.when(F.col("n") > 0, F.col("group")).otherwise(F.col("doc_id")).alias("group_id"))

@@ -2,7 +2,8 @@
 
 Each language has a codeword. For each bit of the codewords, a binary classifier over hashed byte trigrams tells the
 languages with a 1 from those with a 0: its weights are the trigrams' smoothed log-odds between the two sides, from counts
-over all labelled texts. A text's margin for a bit is its mean weight times the evidence that its length gives. Decoding
+over all labelled texts. A text's margin for a bit is its mean weight times the number of its trigrams, or EVIDENCE if it has
+more: neighbouring trigrams are not independent, so longer texts give no further evidence. Decoding
 takes the codeword with the least loss, where a bit's loss is logistic in the margin times the bit, and counts by how well
 that bit's classifier separates its sides. A text is ambiguous if the runner-up's loss is close.
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import stored
+from tessella.llm.common import free_name
 from tessella.llm.textarrays import LOWER, texts
 
 BUCKETS = 1 << 15
@@ -34,6 +35,8 @@ SMOOTH = 0.5
 EXHAUSTIVE, BITS = 6, 63
 #: Trigrams beyond which a longer text adds no evidence.
 EVIDENCE = 40
+#: Trigrams whose weights are summed at once.
+CHUNK = 4096
 #: Difference of the two best losses below which a text is ambiguous.
 MARGIN = 1.0
 
@@ -124,8 +127,9 @@ def _margins(weights: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarra
     for i in range(len(at) - 1):
         part = data[at[i] : at[i + 1]]
         if len(part) > 2:
-            grams = np.bincount(_trigrams(part), minlength=BUCKETS) if len(part) > 20_000 else None
-            sums = grams @ weights if grams is not None else weights[_trigrams(part)].sum(axis=0)
+            grams, sums = _trigrams(part), np.zeros(weights.shape[1])
+            for k in range(0, len(grams), CHUNK):
+                sums += weights[grams[k : k + CHUNK]].sum(axis=0, dtype=np.float64)
             margins[i] = sums / (len(part) - 2) * min(len(part) - 2, EVIDENCE)
     return margins
 
@@ -256,12 +260,12 @@ def keep_known(documents: DataFrame, model: Model) -> DataFrame:
 
     A model without limits, as where no language was learned, rejects no text with a letter.
     """
-    names = documents.columns
-    keyed = documents.select(*names, _has_letter().alias("_letter"))
+    names, letter = documents.columns, free_name("_letter", documents)
+    keyed = documents.select("*", _has_letter().alias(letter))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = np.array(batch.column("_letter").to_pylist(), dtype=bool)
+            known = np.array(batch.column(letter).to_pylist(), dtype=bool)
             if model.limits is not None:
                 for row, end, data, at in texts(batch.column("text")):
                     known[row:end] &= model.farness(data, at) <= model.limits[_length(at)]

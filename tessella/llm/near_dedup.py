@@ -20,16 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import broadcast_if_small, stored
-from tessella.llm.linking import components, link
-from tessella.llm.textarrays import Permutations, distinct, lists, mix, release_memory, runs, texts, words
+from tessella.llm.common import broadcast_if_small, free_name, stored
+from tessella.llm.linking import Classes
+from tessella.llm.textarrays import Permutations, distinct, lists, members_of, mix, release_memory, runs, set_hashes, texts, words
 
 ROWS, BANDS, BITS = 6, 48, 4
 PERMUTATIONS = ROWS * BANDS
 #: Standard errors below the threshold at which a pair's estimate rules it out.
 SLACK = 7
 
-SIGNATURES = "doc_id {kind}, n_shingles long, set_1 long, set_2 long, bands array<long>, sig array<long>"
+SIGNATURES = "doc_id {kind}, n long, set_1 long, set_2 long, bands array<long>, sig array<long>"
 
 
 def _signatures(shingle: int):
@@ -43,9 +43,7 @@ def _signatures(shingle: int):
                 first = np.concatenate([[0], np.cumsum(sizes)])
                 every = np.concatenate(sets)
                 minima = family.minima(every, first)
-                sums = [np.zeros(len(every) + 1, dtype=np.uint64) for _ in range(2)]
-                np.cumsum(every, out=sums[0][1:])
-                np.cumsum(mix(every), out=sums[1][1:])
+                sums = set_hashes(every, first)
                 keys = np.zeros((len(sets), BANDS), dtype=np.uint64)
                 for k in range(ROWS):
                     keys = mix(keys ^ minima[:, k::ROWS])
@@ -55,23 +53,10 @@ def _signatures(shingle: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(row, end - row), pa.array(sizes),
-                        *[pa.array((s[first[1:]] - s[first[:-1]]).view(np.int64)) for s in sums],
+                        *map(pa.array, sums),
                         lists([k if n else k[:0] for k, n in zip(keys, sizes, strict=True)], pa.int64()), lists(list(packed.view(np.int64)), pa.int64()),
                     ],
-                    names=["doc_id", "n_shingles", "set_1", "set_2", "bands", "sig"],
-                )
-        release_memory()
-
-    return run
-
-
-def _sets(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, end, data, at in texts(batch.column("text")):
-                hashed, _, first = runs(words(data, at, lower=True), shingle, short=True)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(row, end - row), lists(distinct(hashed, first), pa.int64())], names=["id", "members"]
+                    names=["doc_id", "n", "set_1", "set_2", "bands", "sig"],
                 )
         release_memory()
 
@@ -96,31 +81,13 @@ def similarity(a: str, b: str) -> str:
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row for each of documents: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept."""
-    found = stored(signatures(documents, shingle), "signatures")
-    same = ["n_shingles", "set_1", "set_2"]
-    whole = found.filter("n_shingles > 0 and doc_id is not null")
-    classes = stored(whole.groupBy(*same).agg(F.min("doc_id").alias("id")), "classes")
-    members = classes.join(found.withColumnRenamed("doc_id", "id"), [*same, "id"])
-    about = members.select("id", F.col("n_shingles").alias("n"), "sig").dropDuplicates(["id", "n"])
-    buckets = members.select("id", F.explode("bands").alias("bucket"))
     threshold = percent / 100
     spread = (threshold * (1 - threshold) / PERMUTATIONS) ** 0.5
     likely = lambda a, b: f"{similarity(a, b)} >= {threshold - SLACK * spread}"
-
-    def sets(ids: DataFrame) -> DataFrame:
-        chosen = documents.select(F.col("doc_id").alias("id"), "text").join(broadcast_if_small(stored(ids, "ids")), "id", "left_semi")
-        kind = documents.schema["doc_id"].dataType.simpleString()
-        return chosen.mapInArrow(_sets(shingle), f"id {kind}, members array<long>")
-
-    links = link(buckets, about, likely, sets, percent)
-    if whole.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # ids that rows repeat join their classes
-        repeated = whole.join(classes, same).select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-        links = links.union(repeated)
-    reached = components(links)
-    classes = classes.join(reached, "id", "left").select(*same, F.coalesce("component", "id").alias("component_id"))
-    out = found.select("doc_id", *same).join(classes, same, "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    found = stored(signatures(documents, shingle), "signatures")
+    out = Classes(documents, found, members_of(shingle), likely, percent).groups()
+    component = F.when(F.col("n") > 0, F.col("group")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
 
@@ -130,7 +97,8 @@ def drop_near_duplicates(documents: DataFrame, shingle: int = 5, percent: int =
 
     Of rows that repeat a kept doc_id, one stays.
     """
-    gone = stored(near_duplicates(documents, shingle, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    left = documents.join(broadcast_if_small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    own = free_name("_gone", documents)
+    gone = near_duplicates(documents, shingle, percent).filter("not kept").select(F.col("doc_id").alias(own)).distinct()
+    left = documents.join(broadcast_if_small(stored(gone, "gone")), F.col("doc_id") == F.col(own), "left_anti")
     nameless = left.filter("doc_id is null")
     return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(nameless)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import broadcast_if_small, row_key, stored, text_or_empty
+from tessella.llm.common import broadcast_if_small, free_name, row_key, stored, text_or_empty
 
 #: kind: (pattern, group that is measured, its least length, a cheap test that every text with a match passes). Fixed values.
 RULES = {
@@ -171,17 +171,17 @@ def secret_spans(documents: DataFrame, fdr: float = FDR) -> DataFrame:
 
 def redact(documents: DataFrame, fdr: float = FDR, mark: str = "[SECRET]") -> DataFrame:
     """The documents with each span, or run of overlapping spans, replaced by mark, and n_chars brought up to date if there."""
-    spans = stored(secret_spans(documents, fdr), "spans")
-    spans = broadcast_if_small(spans.select(F.col("doc_key").alias("_key"), F.col("spans").alias("_spans")))
+    key, own = free_name("_key", documents), free_name("_spans", documents)
+    spans = stored(secret_spans(documents, fdr).toDF(key, own), "spans")
     pieces = F.expr(
-        "aggregate(_spans, struct(0L as done, cast('' as string) as out), (acc, s) -> struct("
+        f"aggregate({own}, struct(0L as done, cast('' as string) as out), (acc, s) -> struct("
         "greatest(acc.done, s.end) as done,"
         "if(s.start < acc.done, acc.out, concat(acc.out, substring(text, cast(acc.done + 1 as int), cast(s.start - acc.done as int)), mark)) as out),"
         "acc -> concat(acc.out, substring(text, cast(acc.done + 1 as int))))".replace("mark", "'" + mark.replace("'", "\\'") + "'")
     )
-    out = documents.join(spans, row_key() == F.col("_key"), "left").withColumn(
-        "text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(pieces)
+    out = documents.join(broadcast_if_small(spans), row_key() == F.col(key), "left").withColumn(
+        "text", F.when(F.col(own).isNull(), F.col("text")).otherwise(pieces)
     )
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(documents.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(own).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(documents.schema["n_chars"].dataType))
     return out.select(documents.columns)

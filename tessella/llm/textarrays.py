@@ -7,11 +7,12 @@ are runs of bytes other than ASCII white space. Hashes are polynomials modulo 2*
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 BLOCK = 1 << 19
 BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -140,3 +141,32 @@ def lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     np.cumsum([len(x) for x in rows], out=offsets[1:])
     values = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64) if values.dtype == np.uint64 else values, type=kind))
+
+
+def set_hashes(every: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums that tell sets apart, of the distinct hashes of each text."""
+    out = []
+    for values in (every, mix(every)):
+        sums = np.zeros(len(every) + 1, dtype=np.uint64)
+        np.cumsum(values, out=sums[1:])
+        out.append((sums[first[1:]] - sums[first[:-1]]).view(np.int64))
+    return out[0], out[1]
+
+
+def members_of(shingle: int) -> Callable[[DataFrame], DataFrame]:
+    """Gives (id, members), the distinct shingles, of rows (id, n, set_1, set_2, text) whose text has the set so described."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = [batch.column(c).to_numpy() for c in ("n", "set_1", "set_2")]
+            for row, end, data, at in texts(batch.column("text")):
+                hashed, _, first = runs(words(data, at, lower=True), shingle, short=True)
+                sets = distinct(hashed, first)
+                sizes = np.array([len(x) for x in sets], dtype=np.int64)
+                sums = set_hashes(np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]))
+                own = np.logical_and.reduce([k[row:end] == x for k, x in zip(known, (sizes, *sums), strict=True)])
+                ids = batch.column("id").slice(row, end - row).filter(pa.array(own))
+                yield pa.RecordBatch.from_arrays([ids, lists([x for x, o in zip(sets, own, strict=True) if o], pa.int64())], names=["id", "members"])
+        release_memory()
+
+    return lambda rows: rows.mapInArrow(run, "id long, members array<long>")
