@@ -1,4 +1,10 @@
-"""A corpus of documents made ready for training: known languages, no near copies, no benchmark text, no secrets, tokens."""
+"""A corpus of documents made ready for training: known languages, no near copies, no benchmark text, no secrets, tokens.
+
+Defined results: a document without a text, or without a letter in it, goes in the first stage. A null doc_id is a document
+like others, that is no copy of any. Of rows that repeat a doc_id, the second stage keeps one, or none if the id has a copy
+with a smaller one. An empty table gives an empty one, an empty benchmark rejects nothing. Further columns stay up to the last
+stage, which gives doc_id, ids and decoded alone.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import decontaminate, language, near_dedup, pieces, secrets
-from tessella.llm.common import stored, table
+from tessella.llm.common import settled, table
 from tessella.llm.queries import PIECES
 
 
@@ -51,5 +57,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = settled(spark, lambda: stage(spark, docs, sf_dir), f"stage-{name}")  # noqa: B023
     return docs
