@@ -29,20 +29,22 @@ from pyspark.sql import DataFrame
 from tessella.llm.textarrays import release_memory
 
 SPACE = "▁"
-#: Parts, and pairs of tokens, whose results a task keeps.
-CACHE = 250_000
+#: Parts, and pairs of tokens, whose results a task keeps, and the length from which parts are not kept.
+CACHE, LONG = 250_000, 64
 #: Code points of texts that are encoded before a batch is handed on.
 BATCH_CHARS = 2_000_000
 
 
 class _Parts(dict):
-    """The ids of parts of texts, those of the last CACHE distinct ones at least and of twice as many at most."""
+    """The ids of parts of texts, those of the last CACHE distinct short ones at least and of twice as many at most."""
 
     def __init__(self, encode: Callable[[str], bytes]):
         super().__init__()
         self.encode, self.old = encode, {}
 
     def __missing__(self, part: str) -> bytes:
+        if len(part) >= LONG:
+            return self.encode(part)
         if len(self) >= CACHE:
             self.old = dict(self)
             self.clear()
@@ -115,23 +117,24 @@ class Codec:
 
     def backtrack(self, text: str) -> list[str]:
         """The pieces and lone characters of text."""
-        n, longest = len(text), {}
+        n = len(text)
+        longest = array("H", bytes(2 * n + 2))  # nought where only a lone character begins
         for end, size in self.automaton.iter(text):  # by ascending end, so the longest at each place is last
             longest[end - size + 1] = size
         known, compatible, shorter = self.pairs.get, self.compatible, self.shorter.get
-        open_ = (1 << (n + 1)) - 1
+        failed = bytearray((n >> 3) + 1)  # a bit for each position from which no encoding goes on
         tokens: list[str] = []
-        pos, last, token = 0, "", text[: longest.get(0, 1)]
+        pos, last, token = 0, "", text[: longest[0] or 1]
         while True:
             while token is not None:
                 end = pos + len(token)
-                if open_ >> end & 1:
+                if not failed[end >> 3] >> (end & 7) & 1:
                     good = known((last, token))
                     if good or good is None and compatible(last, token):
                         break
                 token = shorter(token)
             if token is None:
-                open_ &= ~(1 << pos)
+                failed[pos >> 3] |= 1 << (pos & 7)
                 token = tokens.pop()
                 pos -= len(token)
                 last, token = tokens[-1] if tokens else "", shorter(token)
@@ -139,7 +142,7 @@ class Codec:
                 tokens.append(token)
                 if end == n:
                     return tokens
-                pos, last, token = end, token, text[end : end + longest.get(end, 1)]
+                pos, last, token = end, token, text[end : end + (longest[end] or 1)]
 
     def part(self, text: str) -> bytes:
         ids, known = [], self.pieces.get

@@ -3,8 +3,8 @@
 A file is a run of records: the length of the payload (8 bytes), the masked checksum of these 8 bytes (4), the payload, and
 its masked checksum (4), all little-endian. A checksum is a crc32, turned right by 15 bits, plus MASK. A payload is a byte
 of flags (1: ids of 4 bytes, else of 2; 2: the document has no id), the document's id (8 bytes) and its token ids. Empty
-records end each block of records and carry nothing. Documents are in ascending order of doc_id over the files' names, those
-without an id first, and those that share an id by text.
+records end each block of records and carry nothing. Documents are in ascending order of doc_id over the files, in the order
+of the two numbers in their names, those without an id first, and those that share an id by text.
 
 The files are written by Spark's own writer, so any file system that Spark knows does, and failed tasks leave nothing. The
 index has, for each document, its file, the offset and length of its record, and its place among all token ids.
@@ -23,16 +23,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.common import broadcast_if_small
 from tessella.llm.textarrays import release_memory
 
 MASK = 0xA282EAD8
 #: Bytes of records after which a block ends; distinct parts of texts whose ids a task keeps, in each of two generations.
 BLOCK, CACHE = 4 << 20, 600_000
-#: Documents that are encoded at once.
-ROWS = 512
+#: Blocks after which a task goes on in another file, so that files are of about 64 MB.
+FILE_BLOCKS = 16
+#: Documents that are encoded at once; files that a task reading by offset keeps open.
+ROWS, OPEN_FILES = 512, 64
+#: The numbers of the task and of its file in the names that Spark gives.
+FILE_NUMBERS = r"part-(\d+)-[^/]*-c(\d+)[^/]*$"
 
 
 def masked(data: bytes) -> int:
@@ -81,7 +87,7 @@ class Encoder:
         new = [p for p in parts if p not in old]
         bad = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
         self.parts.update(dict.fromkeys(bad))
-        new = [p for p in new if p not in bad] if bad else new
+        new = list(set(new).difference(bad)) if bad else new
         if new:
             joined = " " + " ".join(new)
             ids = np.array(self.ids([joined])[0])
@@ -116,8 +122,8 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write_records(documents: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
-    """Encode all documents and write their records to files under path."""
+def write_records(documents: DataFrame, tokenizer: str, end_id: int, path: str, file_blocks: int = FILE_BLOCKS) -> None:
+    """Encode all documents and write their records to files under path, each of file_blocks blocks at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, block, size = encoder(tokenizer), [], 0
@@ -141,7 +147,7 @@ def write_records(documents: DataFrame, tokenizer: str, end_id: int, path: str)
 
     ordered = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     blocks = ordered.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    blocks.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).text(path)
+    blocks.write.option("maxRecordsPerFile", file_blocks).option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).text(path)
 
 
 def parse(content: memoryview) -> Iterator[tuple[int, memoryview]]:
@@ -190,25 +196,43 @@ def offset_index(spark: SparkSession, path: str) -> DataFrame:
     index.write.parquet(f"{path}-index")
     index = spark.read.schema(INDEX).parquet(f"{path}-index")
     totals = index.groupBy("file").agg(F.sum("n_tokens").alias("n"))  # a row for each file
-    before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("n").over(Window.orderBy(*file_order()).rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.select("file", F.coalesce(before, F.lit(0)).alias("before"))
-    return index.join(F.broadcast(totals), "file").withColumn("start", F.col("start") + F.col("before")).drop("before")
+    return index.join(broadcast_if_small(totals), "file").withColumn("start", F.col("start") + F.col("before")).drop("before")
 
 
-def read_shuffled(spark: SparkSession, path: str, index: DataFrame, seed: int) -> DataFrame:
-    """(place, doc_id, ids): the records in an order drawn from seed, each read by its offset, sorted by place."""
-    wanted = index.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("at"))
+def file_order() -> list[Column]:
+    """Numbers by which files (file) come in the order of their documents."""
+    return [F.regexp_extract("file", FILE_NUMBERS, k).cast("long") for k in (1, 2)]
+
+
+def read_shuffled(spark: SparkSession, index: DataFrame, seed: int) -> DataFrame:
+    """(place, doc_id, ids): the records of index in an order drawn from seed, sorted by place over all partitions.
+
+    Only the records themselves are read: a task opens the files that its records are in and seeks each by its offset, in the
+    order of offsets within a batch. The files' system has to be one that pyarrow knows.
+    """
+    place = F.xxhash64(F.lit(seed), "file", "offset")
+    rows = index.select(place.alias("place"), "file", "offset", "length").orderBy("place", "file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(maxsize=OPEN_FILES)
+        def opened(file: str) -> pa.NativeFile:
+            system, name = pa.fs.FileSystem.from_uri(file.replace("file:/", "file:///") if file.startswith("file:/") and file[6] != "/" else file)
+            return system.open_input_file(name)
+
         for batch in batches:
-            for content, at in zip(batch.column("content"), batch.column("at").to_pylist(), strict=True):
-                view = memoryview(content.as_buffer())
-                rows = [unpack(next(parse(view[x["offset"] : x["offset"] + x["length"]]))[1]) for x in at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([d for d, _ in rows], pa.int64()), pa.array([i.astype(np.int64).tolist() for _, i in rows], pa.list_(pa.int64()))],
-                    names=["doc_id", "ids"],
-                )
-
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-    rows = files.join(wanted, "file").select("content", "at").mapInArrow(run, "doc_id long, ids array<long>")
-    return rows.select(F.xxhash64(F.lit(seed), "doc_id").alias("place"), "doc_id", "ids").orderBy("place", "doc_id")
+            wanted = list(zip(*[batch.column(c).to_pylist() for c in ("file", "offset", "length")], strict=True))
+            found: list = [None] * len(wanted)
+            for k in sorted(range(len(wanted)), key=wanted.__getitem__):
+                file, offset, length = wanted[k]
+                found[k] = unpack(next(parse(memoryview(opened(file).read_at(length, offset))))[1])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("place"), pa.array([d for d, _ in found], pa.int64()),
+                    pa.array([i.astype(np.int64) for _, i in found], pa.list_(pa.int64())),
+                ],
+                names=["place", "doc_id", "ids"],
+            )
+
+    return rows.mapInArrow(run, "place long, doc_id long, ids array<long>")

@@ -214,7 +214,7 @@ def test_records(spark, awkward, empty, tmp_path):
         crc = zlib.crc32(b"".join(struct.pack("<I", x) for x in ids))
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), crc)
         start += len(ids)
-    shuffled = records.read_shuffled(spark, path, index, 3).collect()
+    shuffled = records.read_shuffled(spark, index, 3).collect()
     assert [r.place for r in shuffled] == sorted(r.place for r in shuffled)
     assert {(r.doc_id, len(r.ids)) for r in shuffled} == {(r.doc_id, r.n_tokens) for r in rows}
     records.write_records(empty, public_tokenizers.path(queries.BYTE_BPE), 2, f"{path}-none")
