@@ -2,11 +2,12 @@
 
 A passage is WINDOW consecutive words. Phrases of PHRASE words are chosen by content: of all phrases within a window, the
 one with the least hash, so that equal windows choose equal phrases. Phrases that texts other than copies of one text share
-are confirmed as recurring. Then each document that has any is read again: for a block of documents, its own recurring
-phrases are compiled into an Aho-Corasick automaton, through which the block's texts are streamed to find every occurrence.
-Blocks are the shards: each holds the phrases of its documents alone, so memory is bounded and no document meets phrases
-that it cannot have. The windows about each occurrence are compared over all documents by a 96-bit hash of their words, and
-a word goes if a window over it also starts in a document with a smaller doc_id.
+are confirmed as recurring, and spelled once, from one of their texts, as codes of their words. An Aho-Corasick automaton over
+these codes then finds every occurrence: phrases are dealt to the documents that may hold them, and each shard, the phrases of a
+block of documents, is compiled and has the words of all texts of the block streamed through it. So a shard's memory is
+bounded by its block, each text is read once, and a text meets no phrase that it cannot have; shards of phrases alone would have
+to see every text each. What the automaton finds decides which windows are compared, by a 96-bit hash of their words,
+over all documents; a word goes if a window over it also starts in a document with a smaller doc_id.
 
 Copies of a whole text need no search: all but the one with the smallest doc_id lose every word, if they have a window.
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import row_key, stored
+from tessella.llm.common import broadcast_if_small, row_key, stored
 from tessella.llm.textarrays import Words, lists, mix, runs, texts, words
 
 WINDOW, PHRASE = 50, 10
@@ -93,33 +94,56 @@ def _survey(window: int, phrase: int):
     return run
 
 
+def _codes(w: Words) -> np.ndarray:
+    """A number of 32 bits for each word. Words that share one make the automaton find too much, which the windows' hashes tell."""
+    return (w.hash >> np.uint64(32)).astype(np.uint32)
+
+
+def _spell(window: int, phrase: int):
+    """(phrase, codes) of the phrases that each row is asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = batch.column("phrases")
+            for row, end, data, at in texts(batch.column("text")):
+                w = words(data, at, lower=False)
+                _, place, by_word = chosen(w, window, phrase)
+                wanted = np.unique(np.concatenate([asked[i].values.to_numpy(zero_copy_only=False) for i in range(row, end)]).view(np.uint64))
+                place = np.unique(place)
+                place = place[np.isin(by_word[place], wanted)]
+                names, once = np.unique(by_word[place], return_index=True)
+                codes = _codes(w).view(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names.view(np.int64)), lists([codes[i : i + phrase] for i in place[once]], pa.int32())], names=["phrase", "codes"]
+                )
+
+    return run
+
+
+def automaton_of(phrases: np.ndarray) -> ahocorasick.Automaton:
+    """For sequences of codes: a row for each phrase."""
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    for codes in phrases.tolist():
+        automaton.add_word(tuple(codes), 1)
+    automaton.make_automaton()
+    return automaton
+
+
 def _locate(window: int, phrase: int):
-    """Windows (h1, h2) about the occurrences of each block's recurring phrases."""
+    """Windows (h1, h2) whose chosen phrase the automaton of their block finds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            recurring = batch.column("phrases")
+            recurring = batch.column("codes")
             for row, end, data, at in texts(batch.column("text")):
                 w = words(data, at, lower=False)
-                starts, place, by_word = chosen(w, window, phrase)
-                wanted = np.unique(np.concatenate([recurring[i].values.to_numpy(zero_copy_only=False) for i in range(row, end)]).view(np.uint64))
-                picked = np.unique(place)
-                found = picked[np.isin(by_word[picked], wanted)]
-                spelled = [b" ".join([data[a:b].tobytes() for a, b in zip(w.start[i : i + phrase], w.end[i : i + phrase], strict=True)]) for i in found]
-                hit = np.zeros(len(w.hash), dtype=bool)
-                if spelled:
-                    automaton = ahocorasick.Automaton()
-                    for s in set(spelled):
-                        s = f" {s.decode()} "
-                        automaton.add_word(s, len(s))
-                    automaton.make_automaton()
-                    for i in range(end - row):
-                        own = [x.decode() for x in WORDS.findall(data[at[i] : at[i + 1]].tobytes())]
-                        begin = np.concatenate([[0], np.cumsum([len(x) + 1 for x in own])])
-                        ends = [(e, n) for e, n in automaton.iter(f" {' '.join(own)} ")]
-                        if ends:
-                            spots = np.array([e - n + 1 for e, n in ends])
-                            hit[w.first[i] + np.searchsorted(begin, spots)] = True
+                shard = np.concatenate([recurring[i].values.to_numpy(zero_copy_only=False) for i in range(row, end)])
+                automaton, hit = automaton_of(np.unique(shard.view(np.uint32).reshape(-1, phrase), axis=0)), np.zeros(len(w.hash), dtype=bool)
+                codes = tuple(_codes(w).tolist())
+                for a, b in zip(w.first[:-1], w.first[1:], strict=True):
+                    if b - a >= window:
+                        hit[[a + last - phrase + 1 for last, _ in automaton.iter(codes[a:b])]] = True
+                starts, place, _ = chosen(w, window, phrase)
                 use = starts[hit[place]] if len(starts) else starts
                 h1, h2 = _window_hashes(w, use, window)
                 cuts = np.searchsorted(use, w.first)
@@ -189,9 +213,13 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, phrase: int = PHR
     heads = survey.join(firsts.select(F.col("head_key").alias("row_key")), "row_key", "left_semi")
     heads = heads.select("row_key", "whole_sha256", "text_key", F.explode("phrases").alias("phrase"))
     shared = heads.groupBy("phrase").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).filter("lo < hi").select("phrase")
-    have = heads.join(shared, "phrase").groupBy("row_key").agg(F.first("whole_sha256").alias("whole_sha256"), F.collect_set("phrase").alias("phrases"))
-    read = stored(base.join(have, "row_key").dropDuplicates(["row_key"]), "documents")
-    found = read.select("row_key", "doc_id", "text", "phrases").mapInArrow(_locate(window, phrase), f"row_key long, doc_id {kind}, h1 long, h2 int")
+    held = stored(heads.join(shared, "phrase").select("row_key", "whole_sha256", "phrase").distinct(), "held")
+    owners = held.groupBy("phrase").agg(F.min("row_key").alias("row_key")).groupBy("row_key").agg(F.collect_list("phrase").alias("phrases"))
+    spelled = base.select("row_key", "text").join(broadcast_if_small(stored(owners, "owners")), "row_key").select("phrases", "text")
+    spelled = stored(spelled.mapInArrow(_spell(window, phrase), "phrase long, codes array<int>").dropDuplicates(["phrase"]), "phrases")
+    dealt = held.join(spelled, "phrase").groupBy("row_key").agg(F.first("whole_sha256").alias("whole_sha256"), F.flatten(F.collect_list("codes")).alias("codes"))
+    read = stored(base.join(dealt, "row_key").dropDuplicates(["row_key"]), "documents")
+    found = read.select("row_key", "doc_id", "text", "codes").mapInArrow(_locate(window, phrase), f"row_key long, doc_id {kind}, h1 long, h2 int")
     first = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
     later = F.col("first").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first")))
     gone = found.withColumn("first", first).filter(later).groupBy("row_key").agg(F.collect_list("h1").alias("removed"))
