@@ -81,7 +81,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity(documents, labels, ~held_out())
     return scored.select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
-        F.size("segments").cast("long").alias("n_passages"),
+        F.size(toxicity.significant()).cast("long").alias("n_passages"),
     )
 
 

@@ -1,15 +1,22 @@
 """Toxic passages as maximal scoring segments, with extreme-value calibration.
 
-A token's score is its log-odds between toxic and other labelled documents under an informative Dirichlet prior, where a
-document counts a token once. Tokens that are significantly toxic keep their score; every other token costs DRIFT. One
-linear scan of a text finds all its maximal scoring segments. By extreme-value theory a text of n tokens that is not toxic
-has a segment of score s or more K n exp(-lambda s) times on average; lambda follows from the scores of tokens in such
-texts, and K from how many of these texts reach their median score. A text's evidence is the sum of what its segments
-exceed this expectation by, in nats, and a logistic curve over the evidence of labelled texts gives its probability.
+A token's score is its log-odds between toxic and other labelled documents, less DRIFT. A document counts a token once, and
+the counts have a Dirichlet prior in proportion to the sizes of both sides, so that a rare token is near to nought and a token
+that no labelled document has is at nought. One linear scan of a text finds all its maximal scoring segments. By extreme-value theory a
+text of n tokens that is not toxic has a segment of score s or more K n exp(-lambda s) times on average. A segment whose
+expectation is SIGNIFICANT or less is a passage. A text's evidence is the sum of what its segments exceed their expectation
+by, in nats, and a logistic curve over the evidence of labelled texts gives its probability.
+
+lambda, K and the curve come from labelled texts that did not choose the scores: each half of them is scored by the counts of
+the other half. Equal texts are in the same half.
+
+Tasks look up the tokens in most labelled documents, LOOKED_UP at most; all other tokens are joined to their scores in Spark.
+What tasks look up changes no score.
 
 Defined results: a null or empty text has no segments and gets the score of no evidence, as does each text where no
-document is labelled toxic (then 0). Labels that are null are ignored; of several for a document the largest counts.
-Rows that repeat are scored each. Other columns are not read.
+document is labelled toxic, or none is not (then 0). Labels that are null are ignored; of several for a document the largest
+counts. Rows that repeat are scored each. Of segments that touch, none has a prefix or suffix of score nought or less. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -18,30 +25,37 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import broadcast_if_small, stored
+from tessella.llm.common import broadcast_if_small, settled, stored
 
 TOKEN = re.compile(r"[^\W\d_]+")
-#: The prior of a token is FLOOR plus its share of PRIOR tokens; the least z for a toxic token; the most tokens that tasks look up
-#: themselves: if more are toxic, these are the tokens in most labelled documents, and all others are joined.
-FLOOR, PRIOR, LEAST_Z, MAX_TERMS = 0.5, 500.0, 3.0, 20_000
-DRIFT = 0.25
+#: The prior of a token: documents, and PRIOR times its share of all tokens; and the cost of a token in a segment.
+DOCUMENTS, PRIOR, DRIFT = 10.0, 500.0, 0.75
+#: The most tokens that tasks look up.
+LOOKED_UP = 30_000
+#: The expected number of such segments in a text that is not toxic, up to which one is a passage.
+SIGNIFICANT = 0.05
 #: Distinct tokens after which a task hands on its counts.
 FLUSH = 200_000
-#: Scores are summed up in steps of 1 / STEPS, at their mean, to find lambda.
-STEPS = 256
+#: Scores are summed up in steps of 1 / STEPS to find lambda.
+STEPS = 64
+#: Evidence beyond which the curve is flat, in nats.
+MOST_EVIDENCE = 200.0
+
+#: What scores a text: the counts of all labelled texts, or of those of one half.
+ALL, FIRST, SECOND = "s_all", "s_0", "s_1"
 
 
 @dataclass
 class Model:
-    scores: dict[str, float | None]  # None: known not to be toxic
-    rest: DataFrame | None = None  # term, s: the toxic tokens that are not in scores
+    known: dict[str, tuple[float, float, float]] = field(default_factory=dict)  # term: its log-odds by ALL, FIRST, SECOND
+    rest: DataFrame | None = None  # term, s_all, s_0, s_1: the tokens that are not in known
     rate: float = 1.0  # lambda
     k: float = 1.0
     intercept: float = 0.0
@@ -49,182 +63,218 @@ class Model:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = (Counter(), Counter())
+    """The documents of each half and label that have a term."""
+    kinds = [(half, toxic) for half in (0, 1) for toxic in (0, 1)]
+    counts = {kind: Counter() for kind in kinds}
 
     def rows() -> pa.RecordBatch:
-        terms = list(counts[0].keys() | counts[1].keys())
+        terms = list(set().union(*counts.values()))
         out = pa.RecordBatch.from_arrays(
-            [pa.array(terms, pa.string()), *[pa.array([c[t] for t in terms], pa.int64()) for c in counts]], names=["term", "n0", "n1"]
+            [pa.array(terms, pa.string()), *[pa.array([c[t] for t in terms], pa.int64()) for c in counts.values()]], names=["term", *COUNTS]
         )
-        for c in counts:
+        for c in counts.values():
             c.clear()
         return out
 
     for batch in batches:
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            counts[1 if toxic else 0].update(set(TOKEN.findall((text or "").lower())))
-            if len(counts[0]) + len(counts[1]) > FLUSH:
+        for text, toxic, half in zip(*[batch.column(c).to_pylist() for c in ("text", "toxic", "half")], strict=True):
+            counts[half, int(toxic > 0)].update(set(TOKEN.findall((text or "").lower())))
+            if sum(map(len, counts.values())) > FLUSH:
                 yield rows()
     yield rows()
 
 
+#: Columns of counts: documents of half 0 and 1 that are not toxic (n) and toxic (t).
+COUNTS = ["n_0", "t_0", "n_1", "t_1"]
+
+
 def _labels(labels: DataFrame) -> DataFrame:
     return labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
-def learn_terms(documents: DataFrame, labels: DataFrame) -> Model:
-    """The toxic tokens and their scores, and lambda."""
-    known = documents.select("doc_id", "text").join(broadcast_if_small(_labels(labels)), "doc_id").select("text", "toxic")
-    counts = stored(
-        known.mapInArrow(_count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")),
-        "terms",
-    )
-    all_0, all_1 = (x or 0 for x in counts.agg(F.sum("n0"), F.sum("n1")).first())
-    if not all_0 or not all_1:
-        return Model({})
-    prior = FLOOR + (F.col("n0") + F.col("n1")) * (PRIOR / (all_0 + all_1))
-    y0, y1 = F.col("n0") + prior, F.col("n1") + prior
-    score = F.log(y1 / (all_1 + PRIOR - y1)) - F.log(y0 / (all_0 + PRIOR - y0))
-    z = score / F.sqrt(1 / y0 + 1 / y1)
-    top = stored(counts.select("term", "n0", score.alias("s"), z.alias("z")).filter(F.col("z") >= LEAST_Z).select("term", "n0", "s"), "toxic")
-    mean = F.coalesce(F.sum(F.col("n0") * F.col("s")) / F.nullif(F.sum("n0"), F.lit(0)), F.avg("s"))
-    steps = top.groupBy(F.floor(F.col("s") * STEPS).alias("step")).agg(mean.alias("s"), F.sum("n0").alias("n0"), F.count("*").alias("n")).collect()
-    values = [(r.s, r.n0 / all_0) for r in steps]
-    rest = 1 - sum(p for _, p in values)
-    low, high = 0.0, 1.0
-    excess = lambda x: sum(p * math.exp(min(x * s, 500)) for s, p in values) + rest * math.exp(-x * DRIFT) - 1
-    while values and excess(high) < 0 and high < 100:
+def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, toxic and half of the documents with a label."""
+    half = (F.crc32(F.coalesce("text", F.lit(""))) % 2).cast("int")
+    return documents.select("doc_id", "text").join(broadcast_if_small(stored(_labels(labels), "labels")), "doc_id").withColumn("half", half)
+
+
+def log_odds(clean: Column, toxic: Column, all_clean: float, all_toxic: float) -> Column:
+    """Of a term in so many documents, where all terms together are in so many: shrunk, and nought where both are nought."""
+    share = all_toxic / (all_clean + all_toxic)
+    prior = DOCUMENTS + (clean + toxic) * (PRIOR / (all_clean + all_toxic))
+    return F.log((toxic + prior * share) / (clean + prior * (1 - share))) - math.log(share / (1 - share))
+
+
+def learn_terms(known: DataFrame) -> Model:
+    """All tokens and their scores, and lambda, from labelled texts."""
+    counted = known.select("text", "toxic", "half").mapInArrow(_count, "term string, n_0 long, t_0 long, n_1 long, t_1 long")
+    counts = stored(counted.groupBy("term").agg(*[F.sum(c).alias(c) for c in COUNTS]), "terms")
+    n_0, t_0, n_1, t_1 = (float(x or 0) for x in counts.agg(*[F.sum(c) for c in COUNTS]).first())
+    if not n_0 + n_1 or not t_0 + t_1:
+        return Model()
+    both = log_odds(F.col("n_0") + F.col("n_1"), F.col("t_0") + F.col("t_1"), n_0 + n_1, t_0 + t_1)
+    halves = [log_odds(F.col(n), F.col(t), a, b) if a and b else both for n, t, a, b in (("n_0", "t_0", n_0, t_0), ("n_1", "t_1", n_1, t_1))]
+    scored = stored(counts.select("term", both.alias(ALL), halves[0].alias(FIRST), halves[1].alias(SECOND), *COUNTS), "scores")
+    # Each half's clean tokens, by the scores that the other half gives them.
+    seen = F.inline(F.array(F.struct(F.col(SECOND).alias("s"), F.col("n_0").alias("n")), F.struct(F.col(FIRST).alias("s"), F.col("n_1").alias("n"))))
+    steps = scored.select(seen).groupBy(F.round(F.col("s") * STEPS).alias("step")).agg(F.sum("n").alias("n")).filter("n > 0").collect()
+    values = np.array([r.step / STEPS - DRIFT for r in steps])
+    rate = _rate(values, np.array([float(r.n) for r in steps]))
+    total = sum((F.col(c) for c in COUNTS), F.lit(0))
+    often = stored(scored.orderBy(F.desc(total), "term").limit(LOOKED_UP).select("term", ALL, FIRST, SECOND), "often")
+    model = Model({r[0]: (r[1], r[2], r[3]) for r in often.collect()}, rate=rate)
+    if len(model.known) == LOOKED_UP:
+        model.rest = stored(scored.join(F.broadcast(often.select("term")), "term", "left_anti").select("term", ALL, FIRST, SECOND), "rest")
+    return model
+
+
+def _rate(values: np.ndarray, n: np.ndarray) -> float:
+    """lambda: where the mean of exp(lambda s) over clean tokens is 1. Their mean score is below nought."""
+    share, low, high = n / n.sum(), 0.0, 1.0
+    excess = lambda x: float(share @ np.exp(np.minimum(x * values, 500))) - 1
+    while excess(high) < 0 and high < 100:
         high *= 2
     for _ in range(60):
         middle = (low + high) / 2
         low, high = (low, middle) if excess(middle) > 0 else (middle, high)
-    rate = max(low, 0.05)
-    if sum(r.n for r in steps) <= MAX_TERMS:
-        return Model({r.term: r.s for r in top.select("term", "s").collect()}, rate=rate)
-    often = stored(counts.orderBy(F.desc(F.col("n0") + F.col("n1")), "term").limit(MAX_TERMS).select("term"), "often")
-    scores = often.join(top.select("term", "s"), "term", "left").collect()
-    return Model({r.term: r.s for r in scores}, stored(top.join(F.broadcast(often), "term", "left_anti").select("term", "s"), "rest"), rate=rate)
+    return max(low, 0.05)
 
 
-def maximal_segments(places: list[int], scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments of tokens that cost DRIFT but for those at places: (first token, end, score).
+def maximal_segments(hits: list[tuple[int, float, float]]) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments, (first token, end, score), in time linear in hits.
 
-    Each candidate keeps the cumulative sums before and after it; a new one joins those back to the last that began lower,
-    if it ends higher.
+    hits: the place, the sum of all scores before it, and the score of each token with a score above nought, in order. Each
+    candidate keeps the sums before and after it, and which earlier one was the last to begin lower. A new one joins those back
+    to that one if it ends higher; the candidates between need not be looked at, as they begin no lower than the one that skips
+    them.
     """
-    out: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
-    total, done = 0.0, 0
-    for place, score in zip(places, scores, strict=True):
-        total -= DRIFT * (place - done)
-        new = (place, place + 1, total, total + score)
-        total, done = total + score, place + 1
+    out: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum after, the last that began lower
+    for place, before, score in hits:
+        start, low, high, j = place, before, before + score, len(out) - 1
         while True:
-            j = len(out) - 1
-            while j >= 0 and out[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or out[j][3] >= new[3]:
+            while j >= 0 and out[j][2] >= low:
+                j = out[j][4]
+            if j < 0 or out[j][3] >= high:
                 break
-            new = (out[j][0], new[1], out[j][2], new[3])
+            start, _, low, _, back = out[j]
             del out[j:]
-        out.append(new)
-    return [(a, b, after - before) for a, b, before, after in out]
+            j = back
+        out.append((start, place + 1, low, high, j))
+    return [(a, b, high - low) for a, b, low, high, _ in out]
 
 
+SEGMENTS = "array<struct<start:int,end:int,score:double>>"
 SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
+HIT = pa.struct([("place", pa.int32()), ("before", pa.float64()), ("odds", pa.float64())])
+SITE = pa.struct([("term", pa.string()), ("places", pa.list_(pa.int32())), ("before", pa.list_(pa.float64()))])
+HITS, SITES = "array<struct<place:int,before:double,odds:double>>", "array<struct<term:string,places:array<int>,before:array<double>>>"
 
 
-def _spans(at: list[int], scores: list[float]) -> list[dict]:
-    return [{"start": a, "end": b, "score": s} for a, b, s in maximal_segments(at, scores)]
+def find_passages(documents: DataFrame, model: Model, carried: tuple[str, ...] = (), halves: bool = False) -> DataFrame:
+    """doc_id, the carried columns, n_tokens, and all segments (start, end, score) of each document; start and end count its tokens.
 
-
-def find_passages(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, and all segments (start, end, score) of each document, where start and end count its tokens."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, segments array<struct<start:int,end:int,score:double>>"
-    scores = model.scores
-    if model.rest is not None:
-        return _joined_hits(documents, model).mapInArrow(_segments, schema)
+    halves: a document of half 0 is scored by the counts of half 1, and the other way round.
+    """
+    kinds = {c: documents.schema[c].dataType.simpleString() for c in ("doc_id", *carried)}
+    columns, given = list(kinds), ", ".join(f"{c} {k}" for c, k in kinds.items())
+    known, joined = model.known, model.rest is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, found = [], []
-            for text in batch.column("text").to_pylist():
+            sizes, found, others = [], [], []
+            by = [2 - h for h in batch.column("half").to_pylist()] if halves else [0] * batch.num_rows
+            for text, k in zip(batch.column("text").to_pylist(), by, strict=True):
+                hits, sites, total = [], {}, 0.0
                 tokens = TOKEN.findall((text or "").lower())
-                at = [i for i, t in enumerate(tokens) if t in scores]
+                for i, t in enumerate(tokens):
+                    odds = known.get(t)
+                    if odds is None:
+                        if joined:
+                            places, before = sites.setdefault(t, ([], []))
+                            places.append(i)
+                            before.append(total)
+                        total -= DRIFT
+                    else:
+                        if odds[k] > DRIFT:
+                            hits.append((i, total, odds[k]))
+                        total += odds[k] - DRIFT
                 sizes.append(len(tokens))
-                found.append(_spans(at, [scores[tokens[i]] for i in at]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(SPAN))],
-                names=["doc_id", "n_tokens", "segments"],
-            )
+                found.append(hits)
+                others.append(sites)
+            arrays = [*[batch.column(c) for c in columns], pa.array(sizes, pa.int64())]
+            if joined:
+                arrays.append(pa.array([[dict(zip(("place", "before", "odds"), h, strict=True)) for h in hits] for hits in found], pa.list_(HIT)))
+                arrays.append(pa.array([[{"term": t, "places": p, "before": b} for t, (p, b) in x.items()] for x in others], pa.list_(SITE)))
+                yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "n_tokens", "hits", "sites"])
+            else:
+                arrays.append(_spans([[(i, before, odds - DRIFT) for i, before, odds in hits] for hits in found]))
+                yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "n_tokens", "segments"])
+
+    read = documents.select(*columns, "text", *(["half"] if halves and "half" not in columns else []))
+    if not joined:
+        return read.mapInArrow(run, f"{given}, n_tokens long, segments {SEGMENTS}")
+    read = read.mapInArrow(run, f"{given}, n_tokens long, hits {HITS}, sites {SITES}").withColumn("_row", F.monotonically_increasing_id())
+    read = stored(read, "hits")
+    score = F.when(F.col("half") == 0, F.col(SECOND)).otherwise(F.col(FIRST)) if halves else F.col(ALL)
+    sites = read.select("_row", *(["half"] if halves else []), F.inline("sites")).join(broadcast_if_small(model.rest), "term")
+    more = F.transform(F.arrays_zip("places", "before"), lambda x: F.struct(x["places"].alias("place"), x["before"].alias("before"), score.alias("odds")))
+    more = sites.select("_row", more.alias("more")).groupBy("_row").agg(F.flatten(F.collect_list("more")).alias("more"))
+    both = read.drop("sites").join(more, "_row", "left").select(*columns, "n_tokens", "hits", "more")
+    return both.mapInArrow(_merged(columns), f"{given}, n_tokens long, segments {SEGMENTS}")
+
+
+def _merged(columns: list[str]):
+    """The segments of hits and of joined tokens (more), whose log-odds move all sums after them."""
 
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for hits, more in zip(batch.column("hits").to_pylist(), batch.column("more").to_pylist(), strict=True):
+                every = [(h["place"], h["before"], h["odds"], 0.0) for h in hits] + [(h["place"], h["before"], h["odds"], h["odds"]) for h in more or []]
+                moved, row = 0.0, []
+                for place, before, odds, late in sorted(every):
+                    if odds > DRIFT:
+                        row.append((place, before + moved, odds - DRIFT))
+                    moved += late
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], batch.column("n_tokens"), _spans(rows)], names=[*columns, "n_tokens", "segments"])
 
+    return run
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [_spans([h["place"] for h in hits], [h["score"] for h in hits]) for hits in batch.column("hits").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_tokens"), pa.array(found, pa.list_(SPAN))], names=["doc_id", "n_tokens", "segments"]
-        )
 
+def _spans(rows: list[list[tuple[int, float, float]]]) -> pa.Array:
+    return pa.array([[{"start": a, "end": b, "score": s} for a, b, s in maximal_segments(hits)] for hits in rows], pa.list_(SPAN))
 
-def _joined_hits(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens and hits (place, score) in order: the tokens in scores are looked up, all others joined to rest."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    scores = model.scores
-    hit, site = (pa.struct(x) for x in ([("place", pa.int32()), ("score", pa.float64())], [("term", pa.string()), ("places", pa.list_(pa.int32()))]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, known, others = [], [], []
-            for text in batch.column("text").to_pylist():
-                tokens, hits, places = TOKEN.findall((text or "").lower()), [], {}
-                for i, t in enumerate(tokens):
-                    if t not in scores:
-                        places.setdefault(t, []).append(i)
-                    elif scores[t] is not None:
-                        hits.append({"place": i, "score": scores[t]})
-                sizes.append(len(tokens))
-                known.append(hits)
-                others.append([{"term": t, "places": p} for t, p in places.items()])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(known, pa.list_(hit)), pa.array(others, pa.list_(site))],
-                names=["doc_id", "n_tokens", "known", "others"],
-            )
-
-    hits = "array<struct<place:int,score:double>>"
-    read = documents.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, known {hits}, others array<struct<term:string,places:array<int>>>"
+def with_expectation(passages: DataFrame, model: Model) -> DataFrame:
+    """passages, where each segment has the number of such ones expected in a text of its length that is not toxic."""
+    expected = lambda s: F.lit(model.k) * F.col("n_tokens") * F.exp(-model.rate * s["score"])
+    return passages.withColumn(
+        "segments", F.transform("segments", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"), expected(s).alias("expected")))
     )
-    read = stored(read.withColumn("row", F.monotonically_increasing_id()), "sites")
-    sites = read.select("row", F.explode("others").alias("x")).select("row", "x.term", "x.places").join(broadcast_if_small(model.rest), "term")
-    more = F.transform("places", lambda p: F.struct(p.alias("place"), F.col("s").alias("score")))
-    more = sites.groupBy("row").agg(F.flatten(F.collect_list(more)).alias("more"))
-    both = F.array_sort(F.concat("known", F.coalesce("more", F.array().cast(hits))))
-    return read.select("row", "doc_id", "n_tokens", "known").join(more, "row", "left").select("doc_id", "n_tokens", both.alias("hits"))
 
 
-def _evidence(model: Model):
-    expected = F.log(F.greatest(F.lit(model.k) * F.col("n_tokens"), F.lit(1e-9)))
-    return F.aggregate("segments", F.lit(0.0), lambda t, s: t + F.greatest(s["score"] * model.rate - expected, F.lit(0.0)))
+def significant() -> Column:
+    """Those segments (with their expectation) that are passages."""
+    return F.filter("segments", lambda s: s["expected"] <= SIGNIFICANT)
+
 
+def _evidence() -> Column:
+    return F.aggregate("segments", F.lit(0.0), lambda t, s: t + F.greatest(-F.log(F.greatest(s["expected"], F.lit(1e-300))), F.lit(0.0)))
 
-def calibrate(passages: DataFrame, labels: DataFrame, model: Model) -> Model:
-    """Set K and the logistic curve from passages of labelled documents."""
-    if not model.scores:
+
+def calibrate(known: DataFrame, model: Model) -> Model:
+    """Set K and the logistic curve from the passages of labelled texts (toxic), scored by the other half's counts."""
+    if not model.known:
         return model
-    known = stored(
-        passages.join(broadcast_if_small(_labels(labels)), "doc_id")
-        .withColumn("best", F.aggregate("segments", F.lit(0.0), lambda t, s: F.greatest(t, s["score"]))), "calibration",
-    )
+    known = known.withColumn("best", F.aggregate("segments", F.lit(0.0), lambda t, s: F.greatest(t, s["score"])))
     clean = known.filter("toxic = 0")
     middle = clean.filter("best > 0").select(F.percentile_approx("best", 0.5, 1000)).first()[0]
     if middle is not None:
         over, tokens = clean.agg(F.sum((F.col("best") >= middle).cast("long")), F.sum("n_tokens")).first()
         model.k = max(over / max(tokens * math.exp(-model.rate * middle), 1e-300), 1e-9)
-    step = F.floor(F.least(_evidence(model), F.lit(200.0)) * 4)
-    rows = known.groupBy(step.alias("x")).agg(F.sum("toxic").alias("y"), F.count("*").alias("n")).collect()
+    step = F.floor(F.least(_evidence(), F.lit(MOST_EVIDENCE)) * 4)
+    rows = with_expectation(known, model).groupBy(step.alias("x")).agg(F.sum((F.col("toxic") > 0).cast("int")).alias("y"), F.count("*").alias("n")).collect()
     x, y, n = (np.array([float(r[c]) for r in rows]) for c in ("x", "y", "n"))
     x = np.log1p(x / 4)
     w = np.zeros(2)
@@ -239,16 +289,25 @@ def calibrate(passages: DataFrame, labels: DataFrame, model: Model) -> Model:
 
 
 def score(passages: DataFrame, model: Model) -> DataFrame:
-    """passages with the probability of label 1."""
-    if not model.scores:
-        return passages.withColumn("score", F.lit(0.0))
-    curve = model.intercept + model.slope * F.log1p(_evidence(model))
-    return passages.withColumn("score", 1 / (1 + F.exp(-curve)))
+    """passages with the expectation of each segment and the probability of label 1."""
+    out = with_expectation(passages, model)
+    if not model.known:
+        return out.withColumn("score", F.lit(0.0))
+    curve = model.intercept + model.slope * F.log1p(F.least(_evidence(), F.lit(MOST_EVIDENCE)))
+    return out.withColumn("score", 1 / (1 + F.exp(-curve)))
+
+
+def learn(documents: DataFrame, labels: DataFrame) -> Model:
+    """From the labelled ones among documents."""
+    known = labelled(documents, labels)
+    model = learn_terms(known)
+    if not model.known:
+        return model
+    found = settled(documents.sparkSession, lambda: find_passages(known, model, ("toxic", "half"), halves=True), "calibration")
+    return calibrate(found, model)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, learnable: Column) -> DataFrame:
     """doc_id, n_tokens, segments and score of each of documents, learning only from labels whose doc_id is learnable."""
-    labels = labels.filter(learnable)
-    model = learn_terms(documents, labels)
-    passages = stored(find_passages(documents, model), "passages")
-    return score(passages, calibrate(passages, labels, model))
+    model = learn(documents, labels.filter(learnable))
+    return score(find_passages(documents, model), model)

@@ -1,9 +1,11 @@
 """The corpus operators against brute force, on texts with every awkward case."""
 
 import hashlib
+import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import defaultdict
 
@@ -307,15 +309,23 @@ def test_maximal_segments():
 
     for _ in range(200):
         n = rng.randint(1, 14)
-        hits = sorted(rng.sample(range(n), rng.randint(0, min(n, 5))))
-        scores = [rng.choice([0.3, 0.71, 1.13, 2.57]) for _ in hits]
-        values = [-toxicity.DRIFT] * n
-        for h, s in zip(hits, scores, strict=True):
-            values[h] = s
-        got = [(a, b, round(s, 6)) for a, b, s in toxicity.maximal_segments(hits, scores)]
+        values = [rng.choice([-0.4, -0.4, -0.15, 0.3, 0.71, 1.13]) for _ in range(n)]
+        hits = [(i, sum(values[:i]), v) for i, v in enumerate(values) if v > 0]
+        got = [(a, b, round(s, 6)) for a, b, s in toxicity.maximal_segments(hits)]
         assert got == [(a, b, round(s, 6)) for a, b, s in brute(values, 0)]
 
 
+def test_maximal_segments_in_linear_time():
+    """Many candidates that never join: each has a higher start than the one before it."""
+    took = []
+    for n in (20_000, 160_000):
+        hits = [(3 * i, float(n - i), 0.5) for i in range(n)]
+        start = time.perf_counter()
+        assert len(toxicity.maximal_segments(hits)) == n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 30 * max(took[0], 0.005)
+
+
 def test_toxicity(spark, docs, awkward, empty):
     rng = random.Random(8)
     rows, labels = [], []
@@ -346,14 +356,37 @@ def test_toxicity_of_many_terms(spark, monkeypatch):
         rows.append((i, " ".join(words)))
     rows.append(rows[5])
     made, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    read = lambda: sorted(map(repr, toxicity.toxicity(made, marks, F.lit(True)).collect()))
-    whole = read()
-    assert len(toxicity.learn_terms(made, marks).scores) == 10
-    monkeypatch.setattr(toxicity, "MAX_TERMS", 3)
-    assert toxicity.learn_terms(made, marks).rest.count() >= 7
+    read = lambda: sorted(map(repr, toxicity.toxicity(made, marks, F.lit(True)).select("doc_id", "n_tokens", F.col("segments.start"), F.col("segments.end"), F.round("score", 6)).collect()))
+    whole, model = read(), toxicity.learn(made, marks)
+    assert model.rest is None and sum(v[0] > 2 for k, v in model.known.items() if k.startswith("bad")) == 10
+    words, counts = model.known, {k: [0, 0] for k in model.known}
+    for i, t in rows:
+        for w in set(re.findall("[a-z]+", t or "")) if i is not None else ():
+            counts[w][dict(labels)[i]] += 1
+    total = [sum(c[y] for c in counts.values()) for y in (0, 1)]
+    share = total[1] / sum(total)
+    for w, (n, t) in counts.items():
+        prior = toxicity.DOCUMENTS + (n + t) * toxicity.PRIOR / sum(total)
+        odds = math.log((t + prior * share) / (n + prior * (1 - share)) / share * (1 - share))
+        assert abs(words[w][0] - odds) < 1e-9
+    monkeypatch.setattr(toxicity, "LOOKED_UP", 3)
+    assert toxicity.learn(made, marks).rest.count() == len(counts) - 3
     assert read() == whole
 
 
+def test_passages_are_significant(spark):
+    """Only segments that chance does not explain are passages, and a labelled text is not scored by its own counts."""
+    rng = random.Random(10)
+    rows = [(i, " ".join("".join(rng.choices("abcdefg", k=3)) for _ in range(80)) + (" scum trash idiot" if i % 5 == 0 else "")) for i in range(800)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(800)], "doc_id long, toxic int")
+    out = toxicity.toxicity(made, marks, ~held_out()).withColumn("n", F.size(toxicity.significant())).withColumn("all", F.size("segments"))
+    clean, toxic = out.filter("doc_id % 5 > 0"), out.filter("doc_id % 5 = 0")
+    assert toxic.filter("n = 0").count() == 0
+    assert clean.agg(F.avg("n")).first()[0] < 0.2 < clean.agg(F.avg("all")).first()[0]
+    assert out.filter(F.exists("segments", lambda s: s["expected"] <= 0)).count() == 0
+
+
 def test_secrets(docs, awkward, empty):
     rules = {
         "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8),
