@@ -2,10 +2,11 @@
 
 Rules find assignments, access keys and hex strings. The battery takes every run of 20 or more token characters, infers
 its encoding from its characters, and tests it against uniform random draws from that encoding's alphabet: chi-squared
-uniformity, runs about the middle of the alphabet, and lag-1 serial correlation. Tokens that fail any test at RANDOM_P are
-structured text. For the others, the null hypothesis is text that people write: its collision rate per encoding is higher,
-so the probability of so few repeated symbols falls with the token's length. A Benjamini-Hochberg step for each encoding
-and class of lengths, over all tokens of the corpus, bounds the share of false discoveries at FDR.
+uniformity (from the pairs of equal symbols), runs about the middle of the alphabet, and lag-1 serial correlation. The three are
+combined into one probability by the Cauchy combination, as they are not independent. Over all tokens of the corpus, for each encoding and class of lengths, a
+Benjamini-Hochberg step then finds those that are not random, where FDR bounds the share of random ones among them. The others
+look random, and are secrets if the battery could have told: tokens so short that text that people write in their encoding
+would often pass are left alone.
 
 Defined results: a null text is empty and has no spans; rows that repeat doc_id and text each get the same spans; a null
 doc_id is a document like others; other columns are not read. Starts and ends are code points, ends exclusive.
@@ -13,6 +14,8 @@ doc_id is a document like others; other columns are not read. Starts and ends ar
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +51,12 @@ ENCODINGS = {
         r"^.+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_=", 0.055,
     ),
 }
-RANDOM_P = 0.001
-FDR = 0.01
+FDR = 0.001
+#: Standard deviations by which written text of a token's length exceeds the pairs of equal symbols of random draws, at least:
+#: the battery then sees it as not random, at 0.001, with a probability of 0.99.
+TOLD = 5.5
+#: Draws for each symbol of the alphabet from which the chi-squared law holds; with fewer, pairs of equal symbols follow Poisson's.
+DENSE = 5
 #: Steps of -ln p in which the Benjamini-Hochberg step counts, up to 60.
 BINS_PER_UNIT = 10
 
@@ -85,14 +92,34 @@ def _found(documents: DataFrame) -> DataFrame:
     )
 
 
-def _tail(z: Column) -> Column:
-    """The upper tail of the standard normal distribution, to about a hundredth of its value."""
-    upper = F.exp(-0.717 * F.abs(z) - 0.416 * z * z) / 2
+def upper_tail(z: Column) -> Column:
+    """Of the standard normal distribution, by the series of Abramowitz and Stegun 26.2.17."""
+    t = 1 / (1 + 0.2316419 * F.abs(z))
+    series = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    upper = F.exp(-z * z / 2) / (2 * math.pi) ** 0.5 * series
     return F.when(z >= 0, upper).otherwise(1 - upper)
 
 
+def chi_squared_tail(x: Column, df: Column) -> Column:
+    """The upper tail, by the cube root of Wilson and Hilferty."""
+    return upper_tail((F.pow(x / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
+
+
+def poisson_tail(k: Column, mean: Column) -> Column:
+    """The probability of k or more: that chi-squared with 2 k degrees is at most twice the mean."""
+    df = F.greatest(2 * k, F.lit(2.0))
+    return F.when(k <= 0, 1.0).otherwise(1 - chi_squared_tail(2 * mean, df))
+
+
+def combined(*p: Column) -> Column:
+    """One probability by the Cauchy combination, which holds for tests that depend on one another, as runs and serial correlation do."""
+    parts = [F.greatest(F.least(x, F.lit(0.99)), F.lit(1e-15)) for x in p]
+    mean = sum((F.tan((0.5 - x) * math.pi) for x in parts), F.lit(0.0)) / len(p)
+    return F.when(mean > 0, F.atan(1 / mean) / math.pi).otherwise(0.5 - F.atan(mean) / math.pi)
+
+
 def battery(tokens: DataFrame) -> DataFrame:
-    """Add to tokens (m) their encoding, n, p_uniform, p_runs, p_serial and p_text, the probability as written text."""
+    """Add to tokens (m) their encoding, n, p_uniform, p_runs, p_serial, p_random of the three, and told: if they are long enough."""
     kind = F.lit(None).cast("string")
     for name, (pattern, _, _) in reversed(ENCODINGS.items()):
         kind = F.when(F.col("m").rlike(pattern), name).otherwise(kind)
@@ -118,37 +145,37 @@ def battery(tokens: DataFrame) -> DataFrame:
     )
     n, a, low = F.col("n"), F.col("a"), F.col("n") - F.col("high")
     pairs = F.greatest(n * (n - 1), F.lit(1.0))
-    z_uniform = (F.col("same") - pairs / a) / F.sqrt(2 * pairs / a * (1 - 1 / a))
-    z_text = (pairs * F.col("rate") - F.col("same")) / F.sqrt(2 * pairs * F.col("rate") * (1 - F.col("rate")))
+    square = a * (F.col("same") + n) / F.greatest(n, F.lit(1.0)) - n
+    p_uniform = F.when(n < DENSE * a, poisson_tail(F.col("same") / 2, pairs / 2 / a)).otherwise(chi_squared_tail(square, a - 1))
+    excess = pairs * (F.col("rate") - 1 / a) / F.sqrt(2 * pairs / a * (1 - 1 / a))
     middle = 1 + 2 * F.col("high") * low / F.greatest(n, F.lit(1.0))
     spread = F.greatest((middle - 1) * (middle - 2) / F.greatest(n - 1, F.lit(1.0)), F.lit(1e-9))
     z_runs = (F.col("runs") - middle) / F.sqrt(spread)
     z_serial = F.col("cov") / F.greatest(F.col("var"), F.lit(1e-9)) * F.sqrt(n) + 1 / F.sqrt(F.greatest(n, F.lit(1.0)))
     one_sided = F.col("high") * low == 0
-    return body.select(
-        *tokens.columns, "encoding", "n",
-        _tail(z_uniform).alias("p_uniform"),
-        F.when(one_sided, 0.0).otherwise(F.least(2 * _tail(F.abs(z_runs)), F.lit(1.0))).alias("p_runs"),
-        F.least(2 * _tail(F.abs(z_serial)), F.lit(1.0)).alias("p_serial"),
-        _tail(z_text).alias("p_text"),
+    tested = body.select(
+        *tokens.columns, "encoding", "n", (excess >= TOLD).alias("told"), p_uniform.alias("p_uniform"),
+        F.when(one_sided, 0.0).otherwise(F.least(2 * upper_tail(F.abs(z_runs)), F.lit(1.0))).alias("p_runs"),
+        F.least(2 * upper_tail(F.abs(z_serial)), F.lit(1.0)).alias("p_serial"),
     )
+    return tested.withColumn("p_random", combined(F.col("p_uniform"), F.col("p_runs"), F.col("p_serial")))
 
 
 def _discoveries(tokens: DataFrame, fdr: float) -> DataFrame:
-    """The tokens that look random, where fdr bounds the expected share of written text in each encoding and class of lengths."""
+    """The tokens that look random: long enough, and not found structured. fdr bounds the expected share of random tokens among those."""
     tested = battery(tokens).withColumn("lengths", F.floor(F.log2(F.greatest(F.col("n"), F.lit(1.0)))).cast("int"))
-    step = F.floor(F.least(-F.log(F.greatest(F.col("p_text"), F.lit(1e-26))), F.lit(60.0)) * BINS_PER_UNIT).cast("int")
+    step = F.floor(F.least(-F.log(F.greatest(F.col("p_random"), F.lit(1e-26))), F.lit(60.0)) * BINS_PER_UNIT).cast("int")
     tested = stored(tested.withColumn("bin", step), "battery")  # rounds p up
     group = ["encoding", "lengths"]
     bins = tested.groupBy(*group, "bin").agg(F.count("*").alias("k"))
-    smaller = Window.partitionBy(*group).orderBy(F.desc("bin"))
+    smaller = Window.partitionBy(*group).orderBy(F.desc("bin"))  # at most 60 * BINS_PER_UNIT rows
     least = (
         bins.withColumn("rank", F.sum("k").over(smaller)).withColumn("all", F.sum("k").over(Window.partitionBy(*group)))
         .filter(F.exp(-F.col("bin") / BINS_PER_UNIT) <= F.col("rank") * fdr / F.col("all"))
         .groupBy(*group).agg(F.min("bin").alias("least"))
     )
-    passes = F.least("p_uniform", "p_runs", "p_serial") >= RANDOM_P
-    return tested.join(broadcast_if_small(least), group).filter(passes & (F.col("bin") >= F.col("least")))
+    structured = F.coalesce(F.col("bin") >= F.col("least"), F.lit(False))
+    return tested.join(F.broadcast(least), group, "left").filter(F.col("told") & ~structured)  # a row for each encoding and power of two
 
 
 def find_secrets(documents: DataFrame, fdr: float = FDR) -> DataFrame:

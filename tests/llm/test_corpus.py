@@ -415,6 +415,31 @@ def test_secrets(docs, awkward, empty):
     assert secrets.find_secrets(empty).count() == 0 and secrets.redact(empty).columns == empty.columns
 
 
+def test_battery(spark):
+    """Each test and their combination reject random tokens as often as they should, and written text far more often."""
+    z = [-3.0, 0.0, 0.5, 2.0, 4.0, 7.0]
+    got = spark.createDataFrame([(x,) for x in z], "z double").select(secrets.upper_tail(F.col("z"))).collect()
+    assert all(abs(r[0] / (math.erfc(x / 2**0.5) / 2) - 1) < 0.01 for x, r in zip(z, got, strict=True))
+    exact = lambda k, m: 1 - sum(math.exp(-m) * m**i / math.factorial(i) for i in range(k))
+    cases = [(k, m) for m in (1.0, 3.0, 12.5, 40.0) for k in (0, 1, 3, 8, 20, 50) if exact(k, m) > 1e-6]
+    got = spark.createDataFrame([(float(k), m) for k, m in cases], "k double, m double").select(secrets.poisson_tail(F.col("k"), F.col("m"))).collect()
+    assert all(abs(r[0] - exact(k, m)) < 0.006 for (k, m), r in zip(cases, got, strict=True))
+    half = lambda x, d: sum(math.exp(-x / 2) * (x / 2) ** i / math.factorial(i) for i in range(d // 2))
+    cases = [(x, d) for d in (2, 10, 40) for x in (1.0, 9.0, 30.0, 60.0)]
+    got = spark.createDataFrame([(x, float(d)) for x, d in cases], "x double, d double").select(secrets.chi_squared_tail(F.col("x"), F.col("d"))).collect()
+    assert all(abs(r[0] - half(x, d)) < 0.01 for (x, d), r in zip(cases, got, strict=True))
+    rng = random.Random(12)
+    made = {"decimal": "0123456789", "hex": "0123456789abcdef", "base64": secrets.ENCODINGS["base64"][1]}
+    rows = [("".join(rng.choices(letters, k=n)), n) for letters in made.values() for n in (24, 60, 400) for _ in range(700)]
+    seen = secrets.battery(spark.createDataFrame(rows, "m string, g int")).groupBy("encoding", "g")
+    names = ("p_uniform", "p_runs", "p_serial", "p_random")
+    for r in seen.agg(*[F.avg((F.col(c) <= 0.05).cast("int")).alias(c) for c in names], F.min("told").alias("told")).collect():
+        assert r.told and all(0.005 < r[c] < 0.1 for c in names)
+    text = ["Einungtzheitgeungverlichachlichte", "InternationalizationOfTheseTextsIsNotRandomAtAllHere", "0123456789012345678901234567890123456789", "deadbeef" * 6, "z" * 50]
+    got = {r.m: r for r in secrets.battery(spark.createDataFrame([(t,) for t in text], "m string")).collect()}
+    assert all(r.p_random < 0.01 for r in got.values()) and not secrets.battery(spark.createDataFrame([("abcdefghijqrstuvwxyz",)], "m string")).first().told
+
+
 def test_pipeline(spark, docs, tmp_path):
     bench = [(1, " ".join(dict(corpus())[9].split()[:15]))]
     docs.write.parquet(f"{tmp_path}/documents.parquet")
