@@ -26,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,11 @@ TOKEN = re.compile(r"[^\W\d_]+")
 #: The prior of a token: documents, and PRIOR times its share of all tokens; and the cost of a token in a segment.
 DOCUMENTS, PRIOR, DRIFT = 10.0, 500.0, 0.75
 #: The most tokens that tasks look up.
-LOOKED_UP = 30_000
+LOOKED_UP = 100_000
 #: The expected number of such segments in a text that is not toxic, up to which one is a passage.
 SIGNIFICANT = 0.05
+#: Texts that are scanned at once.
+ROWS = 256
 #: Distinct tokens after which a task hands on its counts.
 FLUSH = 200_000
 #: Scores are summed up in steps of 1 / STEPS to find lambda.
@@ -164,10 +167,53 @@ def maximal_segments(hits: list[tuple[int, float, float]]) -> list[tuple[int, in
 
 
 SEGMENTS = "array<struct<start:int,end:int,score:double>>"
-SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
-HIT = pa.struct([("place", pa.int32()), ("before", pa.float64()), ("odds", pa.float64())])
-SITE = pa.struct([("term", pa.string()), ("places", pa.list_(pa.int32())), ("before", pa.list_(pa.float64()))])
-HITS, SITES = "array<struct<place:int,before:double,odds:double>>", "array<struct<term:string,places:array<int>,before:array<double>>>"
+#: Of each text: the places, sums before and log-odds of its looked-up tokens that may begin a segment, and the tokens to be joined.
+HITS = "n_tokens long, places array<int>, before array<double>, odds array<double>, terms array<string>, term_places array<int>, term_before array<double>"
+
+
+def _lists(rows: list[list], kind: pa.DataType) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(list(chain.from_iterable(rows)), kind))
+
+
+def _scan(known: list[dict[str, float]], halves: bool, joined: bool, columns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(first, ROWS)
+                by = [known[1 - h] for h in batch.column("half").to_pylist()] if halves else [known[0]] * batch.num_rows
+                out: list[list[list]] = [[] for _ in range(6)]
+                sizes = []
+                for text, odds_of in zip(batch.column("text").to_pylist(), by, strict=True):
+                    row: list[list] = [[] for _ in range(6)]
+                    places, before, odds, terms, term_places, term_before = row
+                    total, tokens = 0.0, TOKEN.findall((text or "").lower())
+                    for i, x in enumerate(map(odds_of.get, tokens)):
+                        if x is None:
+                            if joined:
+                                terms.append(tokens[i])
+                                term_places.append(i)
+                                term_before.append(total)
+                            total -= DRIFT
+                        else:
+                            if x > DRIFT:
+                                places.append(i)
+                                before.append(total)
+                                odds.append(x)
+                            total += x - DRIFT
+                    sizes.append(len(tokens))
+                    for have, new in zip(out, row, strict=True):
+                        have.append(new)
+                arrays = [*[batch.column(c) for c in columns], pa.array(sizes, pa.int64())]
+                if joined:
+                    kinds = [pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.int32(), pa.float64()]
+                    arrays += [_lists(x, k) for x, k in zip(out, kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=[*columns, *[c.split()[0] for c in HITS.split(", ")]])
+                else:
+                    rows = [[(i, low, x - DRIFT) for i, low, x in zip(*hits, strict=True)] for hits in zip(*out[:3], strict=True)]
+                    yield pa.RecordBatch.from_arrays([*arrays, _spans(rows)], names=[*columns, "n_tokens", "segments"])
+
+    return run
 
 
 def find_passages(documents: DataFrame, model: Model, carried: tuple[str, ...] = (), halves: bool = False) -> DataFrame:
@@ -177,73 +223,56 @@ def find_passages(documents: DataFrame, model: Model, carried: tuple[str, ...] =
     """
     kinds = {c: documents.schema[c].dataType.simpleString() for c in ("doc_id", *carried)}
     columns, given = list(kinds), ", ".join(f"{c} {k}" for c, k in kinds.items())
-    known, joined = model.known, model.rest is not None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, found, others = [], [], []
-            by = [2 - h for h in batch.column("half").to_pylist()] if halves else [0] * batch.num_rows
-            for text, k in zip(batch.column("text").to_pylist(), by, strict=True):
-                hits, sites, total = [], {}, 0.0
-                tokens = TOKEN.findall((text or "").lower())
-                for i, t in enumerate(tokens):
-                    odds = known.get(t)
-                    if odds is None:
-                        if joined:
-                            places, before = sites.setdefault(t, ([], []))
-                            places.append(i)
-                            before.append(total)
-                        total -= DRIFT
-                    else:
-                        if odds[k] > DRIFT:
-                            hits.append((i, total, odds[k]))
-                        total += odds[k] - DRIFT
-                sizes.append(len(tokens))
-                found.append(hits)
-                others.append(sites)
-            arrays = [*[batch.column(c) for c in columns], pa.array(sizes, pa.int64())]
-            if joined:
-                arrays.append(pa.array([[dict(zip(("place", "before", "odds"), h, strict=True)) for h in hits] for hits in found], pa.list_(HIT)))
-                arrays.append(pa.array([[{"term": t, "places": p, "before": b} for t, (p, b) in x.items()] for x in others], pa.list_(SITE)))
-                yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "n_tokens", "hits", "sites"])
-            else:
-                arrays.append(_spans([[(i, before, odds - DRIFT) for i, before, odds in hits] for hits in found]))
-                yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "n_tokens", "segments"])
-
-    read = documents.select(*columns, "text", *(["half"] if halves and "half" not in columns else []))
-    if not joined:
+    used = [1, 2] if halves else [0]
+    run = _scan([{t: v[k] for t, v in model.known.items()} for k in used], halves, model.rest is not None, columns)
+    read = documents.select(*columns, "text")
+    if model.rest is None:
         return read.mapInArrow(run, f"{given}, n_tokens long, segments {SEGMENTS}")
-    read = read.mapInArrow(run, f"{given}, n_tokens long, hits {HITS}, sites {SITES}").withColumn("_row", F.monotonically_increasing_id())
-    read = stored(read, "hits")
+    read = stored(read.mapInArrow(run, f"{given}, {HITS}").withColumn("row", F.monotonically_increasing_id()), "hits")
     score = F.when(F.col("half") == 0, F.col(SECOND)).otherwise(F.col(FIRST)) if halves else F.col(ALL)
-    sites = read.select("_row", *(["half"] if halves else []), F.inline("sites")).join(broadcast_if_small(model.rest), "term")
-    more = F.transform(F.arrays_zip("places", "before"), lambda x: F.struct(x["places"].alias("place"), x["before"].alias("before"), score.alias("odds")))
-    more = sites.select("_row", more.alias("more")).groupBy("_row").agg(F.flatten(F.collect_list("more")).alias("more"))
-    both = read.drop("sites").join(more, "_row", "left").select(*columns, "n_tokens", "hits", "more")
+    site = F.arrays_zip(F.col("terms").alias("term"), F.col("term_places").alias("place"), F.col("term_before").alias("before"))
+    sites = read.select("row", *(["half"] if halves else []), F.inline(site).alias("term", "place", "before"))
+    found = sites.join(broadcast_if_small(model.rest), "term").select("row", F.struct("place", "before", score.alias("odds")).alias("x"))
+    more = found.groupBy("row").agg(F.collect_list("x").alias("more"))
+    both = read.drop("terms", "term_places", "term_before").join(more, "row", "left").select(
+        *columns, "n_tokens", "places", "before", "odds", *[F.col(f"more.{c}").alias(f"more_{c}") for c in ("place", "before", "odds")]
+    )
     return both.mapInArrow(_merged(columns), f"{given}, n_tokens long, segments {SEGMENTS}")
 
 
 def _merged(columns: list[str]):
-    """The segments of hits and of joined tokens (more), whose log-odds move all sums after them."""
+    """The segments of looked-up tokens and of joined ones, whose log-odds move all sums after them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for hits, more in zip(batch.column("hits").to_pylist(), batch.column("more").to_pylist(), strict=True):
-                every = [(h["place"], h["before"], h["odds"], 0.0) for h in hits] + [(h["place"], h["before"], h["odds"], h["odds"]) for h in more or []]
-                moved, row = 0.0, []
-                for place, before, odds, late in sorted(every):
-                    if odds > DRIFT:
-                        row.append((place, before + moved, odds - DRIFT))
-                    moved += late
-                rows.append(row)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], batch.column("n_tokens"), _spans(rows)], names=[*columns, "n_tokens", "segments"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(first, ROWS)
+                lists = [batch.column(c).to_pylist() for c in ("places", "before", "odds", "more_place", "more_before", "more_odds")]
+                rows = []
+                for places, before, odds, *more in zip(*lists, strict=True):
+                    every = list(zip(places, before, odds, repeat(0.0)))
+                    if more[0]:
+                        every = sorted([*every, *zip(*more, more[2], strict=True)])
+                    moved, row = 0.0, []
+                    for place, low, x, late in every:
+                        if x > DRIFT:
+                            row.append((place, low + moved, x - DRIFT))
+                        moved += late
+                    rows.append(row)
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c) for c in columns], batch.column("n_tokens"), _spans(rows)], names=[*columns, "n_tokens", "segments"]
+                )
 
     return run
 
 
 def _spans(rows: list[list[tuple[int, float, float]]]) -> pa.Array:
-    return pa.array([[{"start": a, "end": b, "score": s} for a, b, s in maximal_segments(hits)] for hits in rows], pa.list_(SPAN))
+    """An array of the segments of each row's hits."""
+    found = [maximal_segments(hits) for hits in rows]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+    flat = list(chain.from_iterable(found))
+    parts = [pa.array([x[k] for x in flat], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.float64()))]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(parts, names=["start", "end", "score"]))
 
 
 def with_expectation(passages: DataFrame, model: Model) -> DataFrame:

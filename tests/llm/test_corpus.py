@@ -377,13 +377,13 @@ def test_toxicity_of_many_terms(spark, monkeypatch):
 def test_passages_are_significant(spark):
     """Only segments that chance does not explain are passages, and a labelled text is not scored by its own counts."""
     rng = random.Random(10)
-    rows = [(i, " ".join("".join(rng.choices("abcdefg", k=3)) for _ in range(80)) + (" scum trash idiot" if i % 5 == 0 else "")) for i in range(800)]
+    rows = [(i, " ".join("".join(rng.choices("abcdefg", k=3)) for _ in range(80)) + (" scum trash idiot" if i % 5 == 0 else "") + (" meh" if rng.random() < (0.15 if i % 5 else 0.7) else "")) for i in range(800)]
     made = spark.createDataFrame(rows, "doc_id long, text string")
     marks = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(800)], "doc_id long, toxic int")
     out = toxicity.toxicity(made, marks, ~held_out()).withColumn("n", F.size(toxicity.significant())).withColumn("all", F.size("segments"))
     clean, toxic = out.filter("doc_id % 5 > 0"), out.filter("doc_id % 5 = 0")
     assert toxic.filter("n = 0").count() == 0
-    assert clean.agg(F.avg("n")).first()[0] < 0.2 < clean.agg(F.avg("all")).first()[0]
+    assert clean.agg(F.avg("n")).first()[0] < 0.05 < clean.agg(F.avg("all")).first()[0]
     assert out.filter(F.exists("segments", lambda s: s["expected"] <= 0)).count() == 0
 
 
@@ -430,7 +430,7 @@ def test_battery(spark):
     assert all(abs(r[0] - half(x, d)) < 0.01 for (x, d), r in zip(cases, got, strict=True))
     rng = random.Random(12)
     made = {"decimal": "0123456789", "hex": "0123456789abcdef", "base64": secrets.ENCODINGS["base64"][1]}
-    rows = [("".join(rng.choices(letters, k=n)), n) for letters in made.values() for n in (24, 60, 400) for _ in range(700)]
+    rows = [("".join(rng.choices(letters, k=n)), n) for letters in made.values() for n in (36, 60, 400) for _ in range(700)]
     seen = secrets.battery(spark.createDataFrame(rows, "m string, g int")).groupBy("encoding", "g")
     names = ("p_uniform", "p_runs", "p_serial", "p_random")
     for r in seen.agg(*[F.avg((F.col(c) <= 0.05).cast("int")).alias(c) for c in names], F.min("told").alias("told")).collect():
