@@ -42,6 +42,8 @@ DOCUMENTS, PRIOR, DRIFT = 10.0, 500.0, 0.75
 LOOKED_UP = 100_000
 #: The expected number of such segments in a text that is not toxic, up to which one is a passage.
 SIGNIFICANT = 0.05
+#: Scores are whole multiples of 1 / UNITS, so that sums are exact and short.
+UNITS = 256
 #: Texts that are scanned at once.
 ROWS = 256
 #: Distinct tokens after which a task hands on its counts.
@@ -57,7 +59,7 @@ ALL, FIRST, SECOND = "s_all", "s_0", "s_1"
 
 @dataclass
 class Model:
-    known: dict[str, tuple[float, float, float]] = field(default_factory=dict)  # term: its log-odds by ALL, FIRST, SECOND
+    known: dict[str, tuple[int, int, int]] = field(default_factory=dict)  # term: its log-odds, in units, by ALL, FIRST, SECOND
     rest: DataFrame | None = None  # term, s_all, s_0, s_1: the tokens that are not in known
     rate: float = 1.0  # lambda
     k: float = 1.0
@@ -102,10 +104,11 @@ def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def log_odds(clean: Column, toxic: Column, all_clean: float, all_toxic: float) -> Column:
-    """Of a term in so many documents, where all terms together are in so many: shrunk, and nought where both are nought."""
+    """In units, of a term in so many documents, where all terms together are in so many: shrunk, and nought where both are nought."""
     share = all_toxic / (all_clean + all_toxic)
     prior = DOCUMENTS + (clean + toxic) * (PRIOR / (all_clean + all_toxic))
-    return F.log((toxic + prior * share) / (clean + prior * (1 - share))) - math.log(share / (1 - share))
+    odds = F.log((toxic + prior * share) / (clean + prior * (1 - share))) - math.log(share / (1 - share))
+    return F.round(odds * UNITS).cast("int")
 
 
 def learn_terms(known: DataFrame) -> Model:
@@ -120,7 +123,7 @@ def learn_terms(known: DataFrame) -> Model:
     scored = stored(counts.select("term", both.alias(ALL), halves[0].alias(FIRST), halves[1].alias(SECOND), *COUNTS), "scores")
     # Each half's clean tokens, by the scores that the other half gives them.
     seen = F.inline(F.array(F.struct(F.col(SECOND).alias("s"), F.col("n_0").alias("n")), F.struct(F.col(FIRST).alias("s"), F.col("n_1").alias("n"))))
-    steps = scored.select(seen).groupBy(F.round(F.col("s") * STEPS).alias("step")).agg(F.sum("n").alias("n")).filter("n > 0").collect()
+    steps = scored.select(seen).groupBy(F.round(F.col("s") / UNITS * STEPS).alias("step")).agg(F.sum("n").alias("n")).filter("n > 0").collect()
     values = np.array([r.step / STEPS - DRIFT for r in steps])
     rate = _rate(values, np.array([float(r.n) for r in steps]))
     total = sum((F.col(c) for c in COUNTS), F.lit(0))
@@ -143,7 +146,7 @@ def _rate(values: np.ndarray, n: np.ndarray) -> float:
     return max(low, 0.05)
 
 
-def maximal_segments(hits: list[tuple[int, float, float]]) -> list[tuple[int, int, float]]:
+def maximal_segments(hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """All maximal scoring segments, (first token, end, score), in time linear in hits.
 
     hits: the place, the sum of all scores before it, and the score of each token with a score above nought, in order. Each
@@ -151,7 +154,7 @@ def maximal_segments(hits: list[tuple[int, float, float]]) -> list[tuple[int, in
     to that one if it ends higher; the candidates between need not be looked at, as they begin no lower than the one that skips
     them.
     """
-    out: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum after, the last that began lower
+    out: list[tuple[int, int, int, int, int]] = []  # start, end, sum before, sum after, the last that began lower
     for place, before, score in hits:
         start, low, high, j = place, before, before + score, len(out) - 1
         while True:
@@ -166,9 +169,12 @@ def maximal_segments(hits: list[tuple[int, float, float]]) -> list[tuple[int, in
     return [(a, b, high - low) for a, b, low, high, _ in out]
 
 
+#: DRIFT in units.
+COST = round(DRIFT * UNITS)
+
 SEGMENTS = "array<struct<start:int,end:int,score:double>>"
 #: Of each text: the places, sums before and log-odds of its looked-up tokens that may begin a segment, and the tokens to be joined.
-HITS = "n_tokens long, places array<int>, before array<double>, odds array<double>, terms array<string>, term_places array<int>, term_before array<double>"
+HITS = "n_tokens long, places array<int>, before array<int>, odds array<int>, terms array<string>, term_places array<int>, term_before array<int>"
 
 
 def _lists(rows: list[list], kind: pa.DataType) -> pa.Array:
@@ -176,7 +182,7 @@ def _lists(rows: list[list], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(list(chain.from_iterable(rows)), kind))
 
 
-def _scan(known: list[dict[str, float]], halves: bool, joined: bool, columns: list[str]):
+def _scan(known: list[dict[str, int]], halves: bool, joined: bool, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, ROWS):
@@ -187,30 +193,30 @@ def _scan(known: list[dict[str, float]], halves: bool, joined: bool, columns: li
                 for text, odds_of in zip(batch.column("text").to_pylist(), by, strict=True):
                     row: list[list] = [[] for _ in range(6)]
                     places, before, odds, terms, term_places, term_before = row
-                    total, tokens = 0.0, TOKEN.findall((text or "").lower())
+                    total, tokens = 0, TOKEN.findall((text or "").lower())
                     for i, x in enumerate(map(odds_of.get, tokens)):
                         if x is None:
                             if joined:
                                 terms.append(tokens[i])
                                 term_places.append(i)
                                 term_before.append(total)
-                            total -= DRIFT
+                            total -= COST
                         else:
-                            if x > DRIFT:
+                            if x > COST:
                                 places.append(i)
                                 before.append(total)
                                 odds.append(x)
-                            total += x - DRIFT
+                            total += x - COST
                     sizes.append(len(tokens))
                     for have, new in zip(out, row, strict=True):
                         have.append(new)
                 arrays = [*[batch.column(c) for c in columns], pa.array(sizes, pa.int64())]
                 if joined:
-                    kinds = [pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.int32(), pa.float64()]
+                    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
                     arrays += [_lists(x, k) for x, k in zip(out, kinds, strict=True)]
                     yield pa.RecordBatch.from_arrays(arrays, names=[*columns, *[c.split()[0] for c in HITS.split(", ")]])
                 else:
-                    rows = [[(i, low, x - DRIFT) for i, low, x in zip(*hits, strict=True)] for hits in zip(*out[:3], strict=True)]
+                    rows = [[(i, low, x - COST) for i, low, x in zip(*hits, strict=True)] for hits in zip(*out[:3], strict=True)]
                     yield pa.RecordBatch.from_arrays([*arrays, _spans(rows)], names=[*columns, "n_tokens", "segments"])
 
     return run
@@ -250,13 +256,13 @@ def _merged(columns: list[str]):
                 lists = [batch.column(c).to_pylist() for c in ("places", "before", "odds", "more_place", "more_before", "more_odds")]
                 rows = []
                 for places, before, odds, *more in zip(*lists, strict=True):
-                    every = list(zip(places, before, odds, repeat(0.0)))
+                    every = list(zip(places, before, odds, repeat(0)))
                     if more[0]:
                         every = sorted([*every, *zip(*more, more[2], strict=True)])
-                    moved, row = 0.0, []
+                    moved, row = 0, []
                     for place, low, x, late in every:
-                        if x > DRIFT:
-                            row.append((place, low + moved, x - DRIFT))
+                        if x > COST:
+                            row.append((place, low + moved, x - COST))
                         moved += late
                     rows.append(row)
                 yield pa.RecordBatch.from_arrays(
@@ -266,12 +272,12 @@ def _merged(columns: list[str]):
     return run
 
 
-def _spans(rows: list[list[tuple[int, float, float]]]) -> pa.Array:
+def _spans(rows: list[list[tuple[int, int, int]]]) -> pa.Array:
     """An array of the segments of each row's hits."""
     found = [maximal_segments(hits) for hits in rows]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
     flat = list(chain.from_iterable(found))
-    parts = [pa.array([x[k] for x in flat], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.float64()))]
+    parts = [pa.array([x[k] for x in flat], pa.int32()) for k in (0, 1)] + [pa.array([x[2] / UNITS for x in flat], pa.float64())]
     return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(parts, names=["start", "end", "score"]))
 
 

@@ -358,7 +358,7 @@ def test_toxicity_of_many_terms(spark, monkeypatch):
     made, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     read = lambda: sorted(map(repr, toxicity.toxicity(made, marks, F.lit(True)).select("doc_id", "n_tokens", F.col("segments.start"), F.col("segments.end"), F.round("score", 6)).collect()))
     whole, model = read(), toxicity.learn(made, marks)
-    assert model.rest is None and sum(v[0] > 2 for k, v in model.known.items() if k.startswith("bad")) == 10
+    assert model.rest is None and sum(v[0] > 2 * toxicity.UNITS for k, v in model.known.items() if k.startswith("bad")) == 10
     words, counts = model.known, {k: [0, 0] for k in model.known}
     for i, t in rows:
         for w in set(re.findall("[a-z]+", t or "")) if i is not None else ():
@@ -368,7 +368,7 @@ def test_toxicity_of_many_terms(spark, monkeypatch):
     for w, (n, t) in counts.items():
         prior = toxicity.DOCUMENTS + (n + t) * toxicity.PRIOR / sum(total)
         odds = math.log((t + prior * share) / (n + prior * (1 - share)) / share * (1 - share))
-        assert abs(words[w][0] - odds) < 1e-9
+        assert abs(words[w][0] / toxicity.UNITS - odds) <= 0.5 / toxicity.UNITS + 1e-9
     monkeypatch.setattr(toxicity, "LOOKED_UP", 3)
     assert toxicity.learn(made, marks).rest.count() == len(counts) - 3
     assert read() == whole
@@ -377,13 +377,13 @@ def test_toxicity_of_many_terms(spark, monkeypatch):
 def test_passages_are_significant(spark):
     """Only segments that chance does not explain are passages, and a labelled text is not scored by its own counts."""
     rng = random.Random(10)
-    rows = [(i, " ".join("".join(rng.choices("abcdefg", k=3)) for _ in range(80)) + (" scum trash idiot" if i % 5 == 0 else "") + (" meh" if rng.random() < (0.15 if i % 5 else 0.7) else "")) for i in range(800)]
+    rows = [(i, " ".join("".join(rng.choices("abcdefg", k=3)) for _ in range(80)) + (" scum trash idiot" if i % 5 == 0 else "") + (" meh" if rng.random() < (0.4 if i % 5 else 0.95) else "")) for i in range(800)]
     made = spark.createDataFrame(rows, "doc_id long, text string")
     marks = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(800)], "doc_id long, toxic int")
     out = toxicity.toxicity(made, marks, ~held_out()).withColumn("n", F.size(toxicity.significant())).withColumn("all", F.size("segments"))
     clean, toxic = out.filter("doc_id % 5 > 0"), out.filter("doc_id % 5 = 0")
     assert toxic.filter("n = 0").count() == 0
-    assert clean.agg(F.avg("n")).first()[0] < 0.05 < clean.agg(F.avg("all")).first()[0]
+    assert clean.agg(F.avg("n")).first()[0] < 0.05 < 0.3 < clean.agg(F.avg("all")).first()[0]
     assert out.filter(F.exists("segments", lambda s: s["expected"] <= 0)).count() == 0
 
 
