@@ -62,9 +62,9 @@ class Classes:
     def __init__(self, documents: DataFrame, marks: DataFrame, sets: Callable[[DataFrame], DataFrame], likely: Callable[[str, str], str], percent: int):
         self.documents, self.marks, self.sets, self.likely, self.percent = documents, marks, sets, likely, percent
         self.whole = marks.filter("n > 0 and doc_id is not null")
-        # An id stays what it is once it is written.
-        numbered = self.whole.groupBy(*SET).agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id())
-        self.table = stored(numbered, "classes")
+        # In the order of the smallest doc_ids, so that a bucket's hub is its oldest text. An id stays what it is once it is written.
+        ordered = self.whole.groupBy(*SET).agg(F.min("doc_id").alias("least")).orderBy("least")
+        self.table = stored(ordered.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     def links(self) -> DataFrame:
         """(a, b), whose components are those of all links between classes that share a band."""

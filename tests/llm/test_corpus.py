@@ -166,6 +166,58 @@ def test_near_duplicates_awkward(awkward, empty):
     assert kept.columns == awkward.columns and kept.filter("doc_id = 0").count() == 1
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """Texts are nodes, and an id joins its own: no link of either text is lost, and none is made of parts of both."""
+    rng = random.Random(7)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    a, b, p, long = prose(60), prose(60), prose(60), prose(90)
+    mixed = p[:48] + prose(6)  # 44 of the 62 shingles of both
+    rows = [(1, a), (1, b), (2, a[:-1]), (3, [*b, "more"]), (11, p), (11, long), (12, mixed), (21, a[:5]), (21, a[:5]), (22, p), (None, p)]
+    made = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    sets = [shingles(" ".join(w), 5) for _, w in rows]
+    parent = {i: i for i, _ in rows if i is not None}
+    for _ in rows:
+        for (i, _), x in zip(rows, sets, strict=True):
+            for (j, _), y in zip(rows, sets, strict=True):
+                if None not in (i, j) and 100 * len(x & y) >= 80 * len(x | y):
+                    parent[i] = parent[j] = min(parent[i], parent[j])
+    got = near_dedup.near_duplicates(made).collect()
+    assert {r.doc_id: r.component_id for r in got} == {**parent, None: None} and len(got) == len(rows)
+    assert parent[2] == parent[3] == 1 and parent[12] == 12 and parent[22] == 11
+    assert [r.n_shingles for r in got if r.doc_id == 21] == [1, 1]
+
+
+def test_clashing_names(spark, tmp_path):
+    names = ["_letter", "_gone", "_hit", "_key", "_spans", "_sizes", "row", "id", "n", "half", "lang_pred", "s", "acc", "places"]
+    made = spark.createDataFrame([(1, "one two three secret=abcdefghijk", "en"), (2, "one two", None), (3, None, None)], "doc_id long, text string, lang string")
+    made = made.withColumns({c: F.lit("x") for c in names})
+    bench = spark.createDataFrame([(1, "one two", "x")], "item_id long, text string, w string")
+    outs = [
+        language.keep_known(made, language.train_with_limits(made)), near_dedup.drop_near_duplicates(made), decontaminate.drop_contaminated(made, bench), secrets.redact(made)
+    ]
+    assert [(o.columns == made.columns, sorted(r.doc_id for r in o.collect())) for o in outs] == [(True, [1, 2]), (True, [1, 2, 3]), (True, [3]), (True, [1, 2, 3])]
+    marks = spark.createDataFrame([(1, 1, "x"), (2, 0, "y")], "doc_id long, toxic int, text string")
+    assert toxicity.toxicity(made, marks, F.lit(True)).count() == repeats.remove_repeats(made).count() == 3
+    assert fingerprints.groups(made).count() == fingerprints.edited_likeness(made).count() == 3
+
+
+def test_records_hold_every_byte(spark, tmp_path):
+    """Files of one block each, read back by number and by offset."""
+    lib = pytest.importorskip("tokenizers").Tokenizer.from_file(public_tokenizers.path(queries.BYTE_BPE))
+    texts = {i * 1000003: lib.decode(list(range(i * 100, i * 100 + 100))) for i in range(300)}
+    documents = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    path = f"file://{tmp_path}/every"
+    records.write_records(documents, public_tokenizers.path(queries.BYTE_BPE), 2, path, file_blocks=1)
+    index = records.offset_index(spark, path)
+    assert [r.doc_id for r in index.orderBy("start").collect()] == [i * 1000003 for i in range(300)]
+    read = {r.doc_id: r.ids for r in records.read_shuffled(spark, index, 1).collect()}
+    assert read == {i: [*lib.encode(t, add_special_tokens=False).ids, 2] for i, t in texts.items()}
+    assert {b for ids in read.values() for i in ids for b in (i & 255, i >> 8)} == set(range(256))
+    files = spark.createDataFrame([(f"file:/x/part-{a}-u-c{b:03}.txt",) for a, b in [("100000", 0), ("99999", 1), ("99999", 0), ("00002", 1000), ("00002", 999)]], "file string")
+    order = [r.file.split("/")[2] for r in files.orderBy(*records.file_order()).collect()]
+    assert order == ["part-00002-u-c999.txt", "part-00002-u-c1000.txt", "part-99999-u-c000.txt", "part-99999-u-c001.txt", "part-100000-u-c000.txt"]
+
+
 def test_fingerprints(docs, awkward, empty):
     texts = dict(corpus())
     order = sorted(texts, reverse=True)
