@@ -7,6 +7,6 @@ from pyspark.sql import functions as F
 
 
 def uniform(seed: int, *keys: Column | str) -> Column:
-    """In [0, 1), from the first 32 bits of the md5 of the seed and keys, joined by colons."""
+    """In [0, 1), from the first 52 bits of the md5 of the seed and keys, joined by colons."""
     text = F.concat_ws(":", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.ids import type_of
 from tessella.functions.rng import uniform
-from tessella.operators.sampling import draw, independent_negatives, negatives
+from tessella.operators.sampling import independent_negatives, negatives, redraw
 
 
 def context_pairs(seqs: DataFrame, key: str, nodes: str, left: int, right: int) -> DataFrame:
@@ -31,20 +31,25 @@ def cross_type_pairs(seqs: DataFrame, key: str, nodes: str, window: int, user: i
 
 
 def pairs_with_negatives(pairs: DataFrame, dist: DataFrame, count: int, seed: int) -> DataFrame:
-    """src, dst, y from (key, i, center, context): y is 1 for pairs, and 0 for the negatives of a position, which each of its pairs gets"""
+    """src, dst, y from (key, i, center, context): y is 1 for pairs, and 0 for the negatives of a position, which each of its pairs gets.
+
+    Negatives are of the center's type, and none is in the position's sequence (key), as far as that is among pairs.
+    """
     positive = pairs.select(F.col("center").alias("src"), F.col("context").alias("dst"), F.lit(1).alias("y"))
-    spots = pairs.select("key", "i", type_of(F.col("context")).alias("ns")).distinct()
+    spots = pairs.select("key", "i", type_of(F.col("center")).alias("ns")).distinct()
     spots = spots.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    drawn = draw(spots, dist, uniform(seed, "key", "i", "draw"))
+    own = pairs.select("key", F.col("center").alias("drawn")).union(pairs.select("key", "context"))
+    drawn = redraw(spots, dist, own, ["key"], lambda k: uniform(seed, "key", "i", "draw", F.lit(k)))
     negative = pairs.select("key", "i", "center").join(drawn, ["key", "i"]).select(F.col("center").alias("src"), F.col("drawn").alias("dst"), F.lit(0).alias("y"))
     return positive.union(negative)
 
 
 def edges_with_negatives(edges: DataFrame, dist: DataFrame, count: int, seed: int) -> DataFrame:
-    """src, dst, y: an edge has y 1, and its source's negatives of dst's namespace have y 0"""
+    """src, dst, y: an edge has y 1; count negatives of each source, of dst's type and none of them among its edges, have y 0"""
     spots = edges.select("src", type_of(F.col("dst")).alias("ns")).distinct()
     spots = spots.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    drawn = draw(spots, dist, uniform(seed, "src", "draw"))
+    own = edges.select("src", F.col("dst").alias("drawn"))
+    drawn = redraw(spots, dist, own, ["src"], lambda k: uniform(seed, "src", "draw", F.lit(k)))
     return edges.select("src", "dst", F.lit(1).alias("y")).union(drawn.select("src", F.col("drawn").alias("dst"), F.lit(0).alias("y")))
 
 

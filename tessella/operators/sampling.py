@@ -3,29 +3,52 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.ids import type_of
+from tessella.functions.lineage import cut
 from tessella.functions.rng import uniform
 
 #: Fixed values of the distributions: the exponent of frequencies, and table slots for each node.
 POWER, SLOTS = 0.75, 10
+#: Draws for a negative that is no positive, at most.
+ROUNDS = 100
 UNIFORM, ALIAS, WORD2VEC, PARTIAL_SUM = range(4)
 
 
 def negative_distribution(freq: DataFrame, kind: int = PARTIAL_SUM) -> DataFrame:
     """ns, node, prob. kind: uniform; alias and partial sum, freq**0.75; the word2vec table, that to the power again, in slots"""
     nodes = freq.select(type_of(F.col("node")).alias("ns"), "node", F.col("freq").cast("double").alias("freq"))
-    by_ns = Window.partitionBy("ns")
-    if kind == UNIFORM:
-        return nodes.select("ns", "node", (1.0 / F.count("*").over(by_ns)).alias("prob"))
-    power = F.pow("freq", F.lit(POWER))
-    weighted = nodes.select("ns", "node", (power / F.sum(power).over(by_ns)).alias("prob"))
+    weight = F.lit(1.0) if kind == UNIFORM else F.pow("freq", F.lit(POWER))
+    weighted = _shares(nodes.select("ns", "node", weight.alias("prob")))
     return word2vec_table(weighted) if kind == WORD2VEC else weighted
 
 
+def _shares(weighted: DataFrame) -> DataFrame:
+    """ns, node, prob: each weight (prob) over its namespace's sum. Sums are taken before the shuffle; there is a row for each of the types, 65,536 at most."""
+    totals = weighted.groupBy("ns").agg(F.sum("prob").alias("_total"))
+    return weighted.join(F.broadcast(totals), "ns").select("ns", "node", (F.col("prob") / F.col("_total")).alias("prob"))
+
+
+def prefix_sums(table: DataFrame, by: str, order: list[Column], value: str) -> DataFrame:
+    """table with upto: the sum of value up to each row, in that order within by.
+
+    Rows are sorted by ranges over all tasks; a range's own sums and the sums of the ranges before it, one row for each range,
+    give the result, so no task sees all rows of a value of by.
+    """
+    spark = table.sparkSession
+    ranges = table.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col(by), *order)
+    ranges = cut(ranges.withColumn("_range", F.spark_partition_id()))
+    sums = ranges.groupBy(by, "_range").agg(F.sum(value).alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(by, "_range", F.coalesce(before, F.lit(0.0)).alias("_before"))
+    own = F.sum(value).over(Window.partitionBy(by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranges.withColumn("_own", own).join(F.broadcast(sums), [by, "_range"]).withColumn("upto", F.col("_own") + F.col("_before")).drop("_own", "_range", "_before")
+
+
 def word2vec_table(weighted: DataFrame) -> DataFrame:
     """The distribution of a table of ten slots for each node, which nodes fill by descending prob**0.75"""
     by_ns = Window.partitionBy("ns")
@@ -38,8 +61,7 @@ def word2vec_table(weighted: DataFrame) -> DataFrame:
 
 def cumulative(dist: DataFrame) -> DataFrame:
     """ns, node, lo, hi: a draw u in (lo, hi] takes the node"""
-    hi = F.sum("prob").over(Window.partitionBy("ns").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
-    return dist.select("ns", "node", (hi - F.col("prob")).alias("lo"), hi.alias("hi"))
+    return prefix_sums(dist, "ns", [F.col("node")], "prob").select("ns", "node", (F.col("upto") - F.col("prob")).alias("lo"), F.col("upto").alias("hi"))
 
 
 def _cells(table: DataFrame, key: list[str]) -> DataFrame:
@@ -50,10 +72,10 @@ def _cells(table: DataFrame, key: list[str]) -> DataFrame:
 
 def draw(requests: DataFrame, dist: DataFrame, u: Column) -> DataFrame:
     """requests (ns, ...) with the node that u in [0, 1) draws from its namespace. An equi-join by cells: no task sees a whole namespace's table for each draw."""
-    table = cumulative(dist).withColumn("n", F.count("*").over(Window.partitionBy("ns")))
-    top = F.lead("hi").over(Window.partitionBy("ns").orderBy("node")).isNull()
-    table = table.withColumn("hi", F.when(top, 1.0).otherwise(F.col("hi")))
-    sizes = table.groupBy("ns").agg(F.count("*").alias("n"))
+    table = cumulative(dist)
+    sizes = table.groupBy("ns").agg(F.count("*").alias("n"), F.max("node").alias("_top"))  # a row for each type
+    table = table.join(F.broadcast(sizes), "ns").withColumn("hi", F.when(F.col("node") == F.col("_top"), 1.0).otherwise(F.col("hi"))).drop("_top")
+    sizes = sizes.drop("_top")
     asked = requests.join(F.broadcast(sizes), "ns").withColumn("u", u).withColumn("cell", F.floor(F.col("u") * F.col("n")))
     cells = _cells(table, ["ns"]).select(F.col("ns"), "cell", F.col("node").alias("drawn"), "lo", "hi")
     hit = asked.join(cells, ["ns", "cell"]).filter("u >= lo and u < hi")
@@ -66,13 +88,29 @@ def negatives(requests: DataFrame, dist: DataFrame, excluded: DataFrame, count:
     Drawing from the others gives what rejecting excluded draws does. A namespace of which nothing is left raises.
     """
     rest = dist.join(excluded.select("node").distinct(), "node", "left_anti").filter("prob > 0")
-    rest = rest.select("ns", "node", (F.col("prob") / F.sum("prob").over(Window.partitionBy("ns"))).alias("prob"))
+    rest = _shares(rest.select("ns", "node", "prob"))
     if requests.select("ns").distinct().join(rest.select("ns").distinct(), "ns", "left_anti").limit(1).count():
         raise ValueError("all nodes are excluded")
     asked = requests.select(*by, "ns", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("draw"))
     return draw(asked, rest, uniform(seed, *by, "ns", "draw"))
 
 
+def redraw(requests: DataFrame, dist: DataFrame, known: DataFrame, on: list[str], u: Callable[[int], Column]) -> DataFrame:
+    """requests (on, ns, ...) with drawn: the first of the draws u(0), u(1), ... that is none of the known ones (on, drawn).
+
+    Each round draws again only for those that met a known one. Raises if some still do after ROUNDS: their known ones are
+    almost all of the namespace.
+    """
+    out, left = None, requests
+    for k in range(ROUNDS):
+        drawn = cut(draw(left, dist, u(k)).join(known.select(*on, "drawn").distinct().withColumn("_met", F.lit(1)), [*on, "drawn"], "left"))
+        good = drawn.filter("_met is null").select(*requests.columns, "drawn")
+        out, left = good if out is None else out.union(good), drawn.filter("_met = 1").select(*requests.columns)
+        if not left.limit(1).count():
+            return out
+    raise ValueError("almost all nodes are excluded")
+
+
 def shared_negatives(nodes: DataFrame, dist: DataFrame, excluded: DataFrame, count: int, seed: int) -> DataFrame:
     """ns, draw, drawn: one list for each namespace of nodes"""
     requests = nodes.select(type_of(F.col("node")).alias("ns")).distinct()

@@ -100,7 +100,7 @@ SEQ = """s AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id
 
 def u(*keys: str, seed: int = SEED) -> str:
     text = ", ".join(f"CAST({k} AS VARCHAR)" for k in keys)
-    return f"(CAST(CAST('0x' || substr(md5(concat_ws(':', '{seed}', {text})), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0)"
+    return f"(CAST(CAST('0x' || substr(md5(concat_ws(':', '{seed}', {text})), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0)"
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
@@ -342,8 +342,11 @@ def cross_type_pairs(spark, sf_dir):
 EDGES_TO_PARTS = f"SELECT src, dst FROM e WHERE src < {T2}"
 
 
-@query(f"""WITH {E}, {CUM}, q AS (SELECT DISTINCT src, CAST(2 AS INTEGER) AS ns, unnest(range(0, 5)) AS draw FROM ({EDGES_TO_PARTS})), z AS (SELECT *, {u('src', 'draw')} AS u FROM q)
-SELECT src, dst, CAST(1 AS INTEGER) AS y FROM ({EDGES_TO_PARTS}) UNION ALL SELECT src, node, CAST(0 AS INTEGER) FROM z JOIN cu ON cu.ns = z.ns AND u >= lo AND u < hi""")
+@query(f"""WITH {E}, {CUM}, q AS (SELECT DISTINCT src, CAST(2 AS INTEGER) AS ns, unnest(range(0, 5)) AS draw FROM ({EDGES_TO_PARTS})),
+t AS (SELECT *, unnest(range(0, 12)) AS k FROM q), z AS (SELECT *, {u('src', 'draw', 'k')} AS u FROM t),
+d1 AS (SELECT z.src, z.draw, z.k, node FROM z JOIN cu ON cu.ns = z.ns AND u >= lo AND u < hi),
+d2 AS (SELECT src, draw, arg_min(node, k) AS node FROM d1 WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = d1.src AND e.dst = d1.node) GROUP BY src, draw)
+SELECT src, dst, CAST(1 AS INTEGER) AS y FROM ({EDGES_TO_PARTS}) UNION ALL SELECT src, node, CAST(0 AS INTEGER) FROM d2""")
 def edges_with_negatives(spark, sf_dir):
     edges = edges_of(spark, sf_dir).filter(type_of(F.col("src")) == 1)
     return pairs.edges_with_negatives(edges, sampling.negative_distribution(frequencies_of(spark, sf_dir)), 5, SEED)
