@@ -255,6 +255,15 @@ def test_equal_fingerprints_of_unequal_texts(spark):
     assert "op3_similar_groups" in queries.QUERIES
 
 
+def test_record_encoder_cuts_words_from_marks():
+    enc = records.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    bits = ["a", "don", "é", "ſ", "ÿ", "²", "3", "'", "'s", "'t", ",", ".", "_", "\n", "\t", "~", "[", "中", "\u0301", "\u00a0", "<|endoftext|>", "×", " ", " ", " ", "  "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    for block in (texts[:1500], texts[1500:]):
+        assert enc.encode(block) == [struct.pack(f"<{len(ids)}{'H' if enc.dtype.itemsize == 2 else 'I'}", *ids) for ids in enc.ids(block)]
+
+
 def test_records(spark, awkward, empty, tmp_path):
     lib = pytest.importorskip("tokenizers").Tokenizer.from_file(public_tokenizers.path(queries.BYTE_BPE))
     texts = dict(corpus()) | {None: dict(corpus())[3]}
