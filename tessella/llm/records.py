@@ -16,10 +16,9 @@ an integer. Other columns are not read.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,8 +37,6 @@ BLOCK, CACHE = 4 << 20, 600_000
 FILE_BLOCKS = 16
 #: Documents that are encoded at once; files that a task reading by offset keeps open.
 ROWS, OPEN_FILES = 512, 64
-#: A part that starts with Latin letters and goes on with ASCII punctuation or a line break, where the tokenizer always cuts.
-CUT = re.compile(r"([A-Za-zÀ-ÖØ-öø-ſ]+)([!-/:-@\[-`{-~\n].*)", re.DOTALL)
 #: The numbers of the task and of its file in the names that Spark gives.
 FILE_NUMBERS = r"part-(\d+)-[^/]*-c(\d+)[^/]*$"
 
@@ -76,26 +73,22 @@ class Encoder:
             self.lengths[i] = len(token)  # byte-level tokens are spelled with a character for each byte
         self.parts: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, parts: set[str]) -> None:
+    def _learn(self, parts: Iterable[str]) -> None:
         """Encode new parts, joined by the spaces that they stand after, and keep their ids.
 
         A part that is empty or has white space at an end gets None: beside a space, that would split otherwise.
         """
-        kept = parts.intersection(self.old)
-        self.parts.update(zip(kept, map(self.old.__getitem__, kept)))
-        new = list(parts.difference(kept))
+        old = self.old
+        self.parts.update((p, old[p]) for p in parts if p in old)
+        new = [p for p in parts if p not in old]
         bad = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
         self.parts.update(dict.fromkeys(bad))
         new = list(set(new).difference(bad)) if bad else new
-        cut = [m.group(0, 1, 2) for m in map(CUT.fullmatch, new) if m]
-        if cut:
-            self._learn_cut(new, cut)
-        elif new:
+        if new:
             joined = " " + " ".join(new)
             ids = np.array(self.ids([joined])[0])
             starts = np.flatnonzero(np.frombuffer(joined.encode(), dtype=np.uint8) == 32)
@@ -104,17 +97,6 @@ class Encoder:
             bounds = [0, *cuts.tolist(), len(data)]
             self.parts.update(zip(new, map(data.__getitem__, map(slice, bounds[:-1], bounds[1:])), strict=True))
 
-    def _learn_cut(self, new: list[str], cut: list[tuple[str, str, str]]) -> None:
-        """A word and what follows it are encoded by themselves, so that a word with other marks behind it is not encoded again."""
-        if len(self.tails) > CACHE:
-            self.tails = {}
-        whole, words, tails = zip(*cut, strict=True)
-        self._learn(set(new).difference(whole).union(words).difference(self.parts))
-        fresh = list(set(tails).difference(self.tails))
-        self.tails.update((t, np.array(i, dtype=self.dtype).tobytes()) for t, i in zip(fresh, self.ids(fresh), strict=True))
-        joined = map(bytes.__add__, map(self.parts.__getitem__, words), map(self.tails.__getitem__, tails))
-        self.parts.update(zip(whole, joined, strict=True))
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
         if len(self.parts) > CACHE:
@@ -158,7 +140,7 @@ def write_records(documents: DataFrame, tokenizer: str, end_id: int, path: str,
                 if size >= BLOCK:
                     yield pa.RecordBatch.from_arrays([pa.array([b"".join(block)], pa.binary())], names=["value"])
                     block, size = [], 0
-        enc.old, enc.tails = {}, {}
+        enc.old = {}
         release_memory()
         if block:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(block)], pa.binary())], names=["value"])
