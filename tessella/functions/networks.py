@@ -9,7 +9,7 @@ import numpy as np
 
 @dataclass(frozen=True)
 class Network:
-    """Fully connected layers of the given sizes, with a leaky rectifier, or a sigmoid, between them, and after the last if asked.
+    """Fully connected layers of the given sizes, with a leaky rectifier, or a sigmoid or exponential unit, between them, and after the last if asked.
 
     With one size there is no layer, and rows pass unchanged.
     """
@@ -18,6 +18,7 @@ class Network:
     alpha: float = 0.01
     last: bool = False
     sigmoid: bool = False
+    elu: bool = False
 
     @property
     def count(self) -> int:
@@ -40,15 +41,26 @@ class Network:
         out = [x]
         for w, b, bent in self._layers(flat):
             z = out[-1] @ w + b
-            out.append(z if not bent else 1 / (1 + np.exp(-z)) if self.sigmoid else np.where(z > 0, z, self.alpha * z))
+            out.append(self._bend(z) if bent else z)
         return out
 
+    def _bend(self, z: np.ndarray) -> np.ndarray:
+        if self.sigmoid:
+            return 1 / (1 + np.exp(-z))
+        return np.where(z > 0, z, np.expm1(np.minimum(z, 0)) if self.elu else self.alpha * z)
+
+    def _slope(self, y: np.ndarray) -> np.ndarray:
+        """Of _bend, by its result"""
+        if self.sigmoid:
+            return y * (1 - y)
+        return np.where(y > 0, 1.0, y + 1 if self.elu else self.alpha)
+
     def backward(self, flat: np.ndarray, out: list[np.ndarray], d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The gradients of the parameters and of x, from that of the last output"""
         parts = []
         for (w, _, bent), x, y in reversed(list(zip(self._layers(flat), out, out[1:]))):
             if bent:
-                d = d * y * (1 - y) if self.sigmoid else np.where(y > 0, d, self.alpha * d)
+                d = d * self._slope(y)
             parts = [(x.T @ d).ravel(), d.sum(0), *parts]
             d = d @ w.T
         return (np.concatenate(parts) if parts else np.zeros(0)), d
@@ -87,16 +99,18 @@ class SageLayer:
 @dataclass(frozen=True)
 class FactorizationMachine:
     """Rows hold, for each group of features, a weight and a vector. The score adds the weights, the inner products of all
-    pairs of groups, and a network over the vectors; or, if joint, a layer weighs these parts (products by element)."""
+    pairs of groups, and a network over the vectors; or, if joint, a layer weighs these parts (products by element).
+    The network also sees `extra` numbers that follow the groups."""
 
     groups: int
     dim: int
     hidden: tuple[int, ...] = (16,)
     joint: bool = False
+    extra: int = 0
 
     @property
     def deep(self) -> Network:
-        return Network((self.groups * self.dim, *self.hidden, *(() if self.joint else (1,))), alpha=0.0)
+        return Network((self.groups * self.dim + self.extra, *self.hidden, *(() if self.joint else (1,))), alpha=0.0)
 
     @property
     def top(self) -> Network:
@@ -110,9 +124,10 @@ class FactorizationMachine:
         return np.concatenate([self.deep.initial(seed), self.top.initial(seed + 1)])
 
     def _parts(self, flat: np.ndarray, x: np.ndarray):
-        e = x.reshape(len(x), self.groups, self.dim + 1)
+        grouped, extra = np.split(x, [self.groups * (self.dim + 1)], axis=1)
+        e = grouped.reshape(len(x), self.groups, self.dim + 1)
         vecs, total = e[:, :, 1:], e[:, :, 1:].sum(1)
-        deep = self.deep.outputs(flat[: self.deep.count], vecs.reshape(len(x), -1))
+        deep = self.deep.outputs(flat[: self.deep.count], np.concatenate([vecs.reshape(len(x), -1), extra], axis=1))
         parts = [e[:, :, 0], (total**2 - (vecs**2).sum(1)) / 2, deep[-1]]
         joined = np.concatenate(parts, axis=1)
         return vecs, total, deep, joined if self.joint else joined.sum(1, keepdims=True)
@@ -128,8 +143,10 @@ class FactorizationMachine:
             d = np.repeat(d, self.groups + self.dim + 1, axis=1)
         lin, quad, rest = np.split(d, [self.groups, self.groups + self.dim], axis=1)
         g_deep, d_deep = self.deep.backward(flat[: self.deep.count], deep, rest)
+        d_deep, d_extra = np.split(d_deep, [self.groups * self.dim], axis=1)
         d_vecs = quad[:, None, :] * (total[:, None, :] - vecs) + d_deep.reshape(vecs.shape)
-        return np.concatenate([g_deep, g_top]), np.concatenate([lin[:, :, None], d_vecs], axis=2).reshape(len(vecs), -1)
+        d_grouped = np.concatenate([lin[:, :, None], d_vecs], axis=2).reshape(len(vecs), -1)
+        return np.concatenate([g_deep, g_top]), np.concatenate([d_grouped, d_extra], axis=1)
 
 
 @dataclass(frozen=True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.ids import type_of
 from tessella.functions.rng import uniform
+from tessella.operators.graph import dense_index
 from tessella.operators.sampling import independent_negatives, negatives, redraw
 
 
@@ -62,6 +63,11 @@ def softmax_columns(samples: DataFrame, dist: DataFrame, count: int, seed: int)
     return positive.union(spread.select("row", (F.col("draw") + 1).alias("col"), F.col("drawn").alias("item")))
 
 
+def with_items(samples: DataFrame, items: DataFrame) -> DataFrame:
+    """row, item: each row with each of its namespace's shared items (ns, drawn), which are as many as were drawn"""
+    return samples.select("row", type_of(F.col("item")).alias("ns")).join(F.broadcast(items), "ns").select("row", F.col("drawn").alias("item"))
+
+
 def label_matrix(labels: DataFrame, num_label: int, max_label: int) -> DataFrame:
     """node, position, label; a wrong count or a label beyond max_label raises when read"""
     wrong = (F.size("labels") != num_label) | F.exists("labels", lambda x: x > max_label)
@@ -74,6 +80,33 @@ def with_self(features: DataFrame, nodes: DataFrame) -> DataFrame:
     return features.select("node", "fid", "v").union(nodes.select("node", F.col("node").alias("fid"), F.lit(1.0).alias("v")))
 
 
+def batches(nodes: DataFrame, size: int) -> DataFrame:
+    """node, batch: so many distinct nodes a batch, by unsigned id"""
+    return dense_index(nodes).select("node", F.floor(F.col("idx") / size).alias("batch"))
+
+
+def one_sequence(rows: DataFrame, nodes: str = "nodes") -> DataFrame:
+    """rows, raising when read where the sequence has fewer than two nodes"""
+    wrong = F.raise_error(F.concat(F.lit("a sequence of "), F.size(nodes), F.lit(" nodes")))
+    return rows.withColumn(nodes, F.when(F.size(nodes) > 1, F.col(nodes)).otherwise(wrong))
+
+
+def sort_pairs(pairs: Column) -> Column:
+    """An array of pairs by type, then by ascending weight; those that are equal in both stay in order"""
+    placed = F.transform(pairs, lambda x, i: F.struct(type_of(x["id"]).alias("t"), x["w"].alias("w"), i.alias("i"), x.alias("x")))
+    return F.transform(F.array_sort(placed), lambda p: p["x"])
+
+
+def members(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows (node, ...) whose node is among nodes"""
+    return rows.join(nodes.select("node").distinct(), "node", "left_semi")
+
+
+def bounded_features(features: DataFrame, most: float) -> DataFrame:
+    """The features (..., v) with a value of at most that size; nulls go"""
+    return features.filter(F.abs("v") <= most)
+
+
 def only_one(pairs: Column, kind: int) -> Column:
     """The one id of that type in an array of pairs; none or several raise when read"""
     own = F.filter(pairs, lambda x: type_of(x["id"]) == kind)

@@ -6,6 +6,8 @@ that are null raise no error but drop out of joins; features that training did n
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,8 +75,24 @@ class TwoTowers:
         self.dim, self.groups, self.seed, self.tables = dim, (user_groups, item_groups), seed, None
         self.towers = [Dense(Network((dim * g, *n), last=True), seed + k) for k, (g, n) in enumerate(zip(self.groups, (layers, items)))]
 
+    def _input(self, side: int, features: DataFrame) -> DataFrame:
+        return pool(features.select("row").distinct(), features, self.tables[side], self.dim, self.groups[side])
+
     def _side(self, side: int, features: DataFrame) -> DataFrame:
-        return self.towers[side].forward(pool(features.select("row").distinct(), features, self.tables[side], self.dim, self.groups[side]))
+        return self.towers[side].forward(self._input(side, features))
+
+    def _pulls(self, items: DataFrame, sides: list[DataFrame]) -> list[DataFrame]:
+        """The gradients (row, d) of both sides' vectors"""
+        g = F.col("p") - (F.col("col") == 0).cast("double")
+        return self._dealt(self._chances(items, *sides).select("row", "item", "u", "i", g.alias("g")))
+
+    def _dealt(self, scored: DataFrame) -> list[DataFrame]:
+        """What the gradients g of scores (row, item, u, i, g) are for both sides"""
+        size = self.towers[0].net.sizes[-1]
+        return [scored.groupBy("row").agg(vector_sum("i", size, F.col("g")).alias("d")), scored.groupBy(F.col("item").alias("row")).agg(vector_sum("u", size, F.col("g")).alias("d"))]
+
+    def _finish(self, grads: list[DataFrame], rate: float) -> None:
+        """After a step of tables and towers, from the gradients of both sides' inputs"""
 
     def user_embeddings(self, features: DataFrame) -> DataFrame:
         return self._side(0, _grouped(features)).select("row", F.col("h").alias("vec"))
@@ -100,30 +118,39 @@ class TwoTowers:
             self.tables = [new_table(f.select("fid"), self.dim, self.seed + 10 + k) for k, f in enumerate(given)]
         for _ in range(steps):
             sides = [cut(self._side(k, given[k])) for k in (0, 1)]
-            g = F.col("p") - (F.col("col") == 0).cast("double")
-            scored = self._chances(items, *sides).select("row", "item", "u", "i", g.alias("g"))
-            size = self.towers[0].net.sizes[-1]
-            pulls = [scored.groupBy("row").agg(vector_sum("i", size, F.col("g")).alias("d")), scored.groupBy(F.col("item").alias("row")).agg(vector_sum("u", size, F.col("g")).alias("d"))]
+            pulls = self._pulls(items, sides)
             grads = [self.towers[k].backward(sides[k].join(pulls[k], "row")) for k in (0, 1)]
             self.tables = [update(self.tables[k], scatter(grads[k], given[k], self.dim), rate) for k in (0, 1)]
             for tower, grad in zip(self.towers, grads):
                 tower.step(grad, rate)
+            self._finish(grads, rate)
         return self
 
 
+class Pass(NamedTuple):
+    """What went into the mean of a layer's neighbors, and what the layer saw and gave: (row, x, h)"""
+
+    given: DataFrame
+    at: DataFrame
+
+
 class GraphSage:
     """Vectors of nodes from their features (node, fid, v) and those of sampled neighbors, one layer for each fan-out.
 
     fit_pairs learns from pairs (src, dst, y) by inner products, fit_labels from (node, labels), all of one length: classes by
-    softmax over 0/1 arrays with a single 1, or with multi_label each position by itself.
+    softmax over 0/1 arrays with a single 1, or with multi_label each position by itself. A layer has one part for the node
+    and one for its neighbors' mean; or, if pin, neighbors go through a layer before their mean, and another takes both.
     """
 
-    def __init__(self, fanouts: list[int], width: int = 8, dim: int = 8, classes: int | None = None, multi_label: bool = False, seed: int = 0):
+    def __init__(self, fanouts: list[int], width: int = 8, dim: int = 8, classes: int | None = None, multi_label: bool = False, seed: int = 0, pin: bool = False):
         self.fanouts, self.width, self.seed, self.multi_label, self.table = fanouts, width, seed, multi_label, None
-        widths = [width] + [2 * dim] * (len(fanouts) - 1)
-        self.size = 2 * dim
-        self.layers = [Dense(SageLayer(w, dim, k < len(fanouts) - 1), seed + 10 * k) for k, w in enumerate(widths)]
-        self.top = Dense(Network((2 * dim, classes)), seed + 1000) if classes else None
+        self.size = dim if pin else 2 * dim
+        self.widths = [width] + [self.size] * (len(fanouts) - 1)
+        self.near = [dim] * len(fanouts) if pin else self.widths
+        self.before = [Dense(Network((w, dim), last=True), seed + 10 * k + 5) if pin else None for k, w in enumerate(self.widths)]
+        nets = [Network((w + dim, dim), last=True) if pin else SageLayer(w, dim, k < len(fanouts) - 1) for k, w in enumerate(self.widths)]
+        self.layers = [Dense(net, seed + 10 * k) for k, net in enumerate(nets)]
+        self.top = Dense(Network((self.size, classes)), seed + 1000) if classes else None
 
     def _graph(self, nodes: DataFrame, edges: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(row, node) of all levels, blocks, and features by row, written once"""
@@ -132,30 +159,33 @@ class GraphSage:
         blocks = cut(subgraphs.blocks(levels, links, len(self.fanouts)))
         return index, blocks, cut(index.join(features, "node").select("row", "fid", F.lit(0).alias("grp"), "v"))
 
-    def _forward(self, index: DataFrame, blocks: DataFrame, features: DataFrame) -> list[DataFrame]:
-        """What each layer saw and gave: (row, x, h)"""
+    def _forward(self, index: DataFrame, blocks: DataFrame, features: DataFrame) -> list[Pass]:
         at, seen = pool(index, features, self.table, self.width).withColumnRenamed("x", "h"), []
         for k, layer in enumerate(self.layers):
-            vecs = at.select(F.col("row").alias("id"), F.col("h").alias("vec"))
+            given = cut(self.before[k].forward(at.select("row", F.col("h").alias("x")))) if self.before[k] else at
+            vecs = given.select(F.col("row").alias("id"), F.col("h").alias("vec"))
             own = blocks.filter((F.col("block") == k) & (F.col("kind") == "self")).select("row").join(at.select("row", "h"), "row")
             near = blocks.filter((F.col("block") == k) & (F.col("kind") == "neigh")).select("row", "col", F.lit(1.0).alias("x"))
-            width = layer.net.width
-            mean = mean_aggregate(near, vecs, width).withColumnRenamed("vec", "m")
-            x = F.concat("h", F.coalesce("m", F.array_repeat(F.lit(0.0), width)))
+            mean = mean_aggregate(near, vecs, self.near[k]).withColumnRenamed("vec", "m")
+            x = F.concat("h", F.coalesce("m", F.array_repeat(F.lit(0.0), self.near[k])))
             at = cut(layer.forward(own.join(mean, "row", "left").select("row", x.alias("x"))))
-            seen.append(at)
+            seen.append(Pass(given, at))
         return seen
 
-    def _backward(self, seen: list[DataFrame], d: DataFrame, blocks: DataFrame, features: DataFrame, rate: float) -> None:
+    def _backward(self, seen: list[Pass], d: DataFrame, blocks: DataFrame, features: DataFrame, rate: float) -> None:
         """A step from d (row, d), the gradients of the last layer's output"""
         for k in reversed(range(len(self.layers))):
-            layer, width = self.layers[k], self.layers[k].net.width
-            grads = layer.backward(seen[k].join(d, "row"))
+            layer, width, before = self.layers[k], self.widths[k], self.before[k]
+            grads = layer.backward(seen[k].at.join(d, "row"))
             rows = grads.filter("dx is not null")
             near = blocks.filter((F.col("block") == k) & (F.col("kind") == "neigh")).select("row", "col")
             degree = near.groupBy("row").agg(F.count("*").alias("n"))
-            parts = rows.select("row", F.slice("dx", 1, width).alias("g"), F.lit(1.0).alias("s")).unionByName(
-                near.join(degree, "row").join(rows, "row").select(F.col("col").alias("row"), F.slice("dx", width + 1, width).alias("g"), (1 / F.col("n")).alias("s")))
+            pulls = near.join(degree, "row").join(rows, "row").select(F.col("col").alias("row"), F.slice("dx", width + 1, self.near[k]).alias("g"), (1 / F.col("n")).alias("s"))
+            if before:
+                back = before.backward(seen[k].given.join(pulls.groupBy("row").agg(vector_sum("g", self.near[k], F.col("s")).alias("d")), "row"))
+                pulls = back.filter("dx is not null").select("row", F.col("dx").alias("g"), F.lit(1.0).alias("s"))
+                before.step(back, rate)
+            parts = rows.select("row", F.slice("dx", 1, width).alias("g"), F.lit(1.0).alias("s")).unionByName(pulls)
             d = parts.groupBy("row").agg(vector_sum("g", width, F.col("s")).alias("d"))
             layer.step(grads, rate)
         self.table = update(self.table, scatter(d.withColumnRenamed("d", "dx"), features, self.width), rate)
@@ -169,7 +199,14 @@ class GraphSage:
     def embed(self, nodes: DataFrame, edges: DataFrame, features: DataFrame) -> DataFrame:
         """node, vec"""
         graph, seeds = self._prepare(nodes, edges, features)
-        return self._forward(*graph)[-1].join(seeds, "row").select("node", F.col("h").alias("vec"))
+        return self._forward(*graph)[-1].at.join(seeds, "row").select("node", F.col("h").alias("vec"))
+
+    def _pulls_of_pairs(self, by_row: DataFrame, vecs: DataFrame) -> DataFrame:
+        """row, d: the gradients of (row, h) that pairs (a, b, y) give by inner products"""
+        found = by_row.join(vecs.toDF("a", "u"), "a").join(vecs.toDF("b", "v"), "b")
+        found = found.withColumn("g", _sigmoid(dot(F.col("u"), F.col("v"))) - F.col("y"))
+        pulls = found.select(F.col("a").alias("row"), F.col("v").alias("o"), "g").union(found.select("b", "u", "g"))
+        return pulls.groupBy("row").agg(vector_sum("o", self.size, F.col("g")).alias("d"))
 
     def fit_pairs(self, pairs: DataFrame, edges: DataFrame, features: DataFrame, steps: int = 5, rate: float = 0.1) -> GraphSage:
         ends = pairs.select(F.col("src").alias("node")).union(pairs.select("dst"))
@@ -177,29 +214,53 @@ class GraphSage:
         by_row = pairs.join(seeds.toDF("a", "src"), "src").join(seeds.toDF("b", "dst"), "dst").select("a", "b", "y")
         for _ in range(steps):
             seen = self._forward(index, blocks, feats)
-            vecs = seen[-1].select("row", "h")
-            found = by_row.join(vecs.toDF("a", "u"), "a").join(vecs.toDF("b", "v"), "b")
-            found = found.withColumn("g", _sigmoid(dot(F.col("u"), F.col("v"))) - F.col("y"))
-            pulls = found.select(F.col("a").alias("row"), F.col("v").alias("o"), "g").union(found.select("b", "u", "g"))
-            self._backward(seen, pulls.groupBy("row").agg(vector_sum("o", self.size, F.col("g")).alias("d")), blocks, feats, rate)
+            self._backward(seen, self._pulls_of_pairs(by_row, seen[-1].at.select("row", "h")), blocks, feats, rate)
         return self
 
     def _chances(self) -> Column:
         return F.transform("h", _sigmoid) if self.multi_label else softmax(F.col("h"))
 
+    def _pulls_of_labels(self, wanted: DataFrame, vecs: DataFrame, rate: float) -> DataFrame:
+        """row, d: the gradients of (row, h) that labels (row, labels) give, after a step of the top layer"""
+        given = self.top.forward(vecs.select("row", F.col("h").alias("x"))).join(wanted, "row")
+        grads = self.top.backward(given.select("row", "x", F.zip_with(self._chances(), "labels", lambda p, y: p - y).alias("d")))
+        self.top.step(grads, rate)
+        return grads.filter("dx is not null").select("row", F.col("dx").alias("d"))
+
     def fit_labels(self, labels: DataFrame, edges: DataFrame, features: DataFrame, steps: int = 5, rate: float = 0.1) -> GraphSage:
         (index, blocks, feats), seeds = self._prepare(labels, edges, features)
         wanted = labels.join(seeds, "node").select("row", "labels")
         for _ in range(steps):
             seen = self._forward(index, blocks, feats)
-            given = self.top.forward(seen[-1].select("row", F.col("h").alias("x"))).join(wanted, "row")
-            grads = self.top.backward(given.select("row", "x", F.zip_with(self._chances(), "labels", lambda p, y: p - y).alias("d")))
-            self._backward(seen, grads.filter("dx is not null").select("row", F.col("dx").alias("d")), blocks, feats, rate)
-            self.top.step(grads, rate)
+            self._backward(seen, self._pulls_of_labels(wanted, seen[-1].at, rate), blocks, feats, rate)
+        return self
+
+    def fit_both(self, labels: DataFrame, pairs: DataFrame, edges: DataFrame, features: DataFrame, weight: float = 0.0, steps: int = 5, rate: float = 0.1) -> GraphSage:
+        """From labels and, by weight, from pairs"""
+        ends = labels.select("node").union(pairs.select("src")).union(pairs.select("dst"))
+        (index, blocks, feats), seeds = self._prepare(ends, edges, features)
+        wanted = labels.join(seeds, "node").select("row", "labels")
+        by_row = pairs.join(seeds.toDF("a", "src"), "src").join(seeds.toDF("b", "dst"), "dst").select("a", "b", "y")
+        for _ in range(steps):
+            seen = self._forward(index, blocks, feats)
+            d = total_pulls([self._pulls_of_labels(wanted, seen[-1].at, rate), scaled(self._pulls_of_pairs(by_row, seen[-1].at.select("row", "h")), weight)], self.size)
+            self._backward(seen, d, blocks, feats, rate)
         return self
 
     def predict(self, nodes: DataFrame, edges: DataFrame, features: DataFrame) -> DataFrame:
         """node, p: an array of probabilities"""
         graph, seeds = self._prepare(nodes, edges, features)
-        last = self._forward(*graph)[-1].select("row", F.col("h").alias("x"))
+        last = self._forward(*graph)[-1].at.select("row", F.col("h").alias("x"))
         return self.top.forward(last).join(seeds, "row").select("node", self._chances().alias("p"))
+
+
+def scaled(pulls: DataFrame, weight: float) -> DataFrame:
+    return pulls.select("row", F.transform("d", lambda x: x * weight).alias("d"))
+
+
+def total_pulls(parts: list[DataFrame], size: int) -> DataFrame:
+    """row, d: the sums of gradients (row, d)"""
+    every = parts[0].select("row", "d")
+    for part in parts[1:]:
+        every = every.union(part.select("row", "d"))
+    return every.groupBy("row").agg(vector_sum("d", size).alias("d"))

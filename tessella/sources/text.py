@@ -6,12 +6,16 @@ A node's weight is 1 where missing, and is not range-checked.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.ids import weight_in_range
 
 PAIR = "struct<id:bigint,w:float>"
+#: Fixed value: the name of the only namespace where no file names them.
+NO_NAMESPACES = "EMPTY_CONFIG_FILE"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -43,59 +47,85 @@ def _number(text: Column) -> Column:
     return F.when(text.rlike(r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"), text.cast("float"))
 
 
-def read_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """node, weight"""
-    p = lines(spark, path).select(_parts().alias("p"))
+def parse_nodes(rows: DataFrame) -> DataFrame:
+    """node, weight, from lines (value)"""
+    p = rows.select(_parts().alias("p"))
     return p.select(to_id(F.get("p", F.lit(0))).alias("node"), F.coalesce(_number(F.get("p", F.lit(1))), F.lit(1.0).cast("float")).alias("weight")).filter("node is not null")
 
 
-def read_edges(spark: SparkSession, path: str) -> DataFrame:
-    """src, dst, w"""
-    p = lines(spark, path).select(_parts().alias("p"))
+def read_nodes(spark: SparkSession, path: str) -> DataFrame:
+    return parse_nodes(lines(spark, path))
+
+
+def parse_edges(rows: DataFrame) -> DataFrame:
+    """src, dst, w, from lines (value)"""
+    p = rows.select(_parts().alias("p"))
     w = F.when(F.size("p") > 2, _number(F.get("p", F.lit(2)))).otherwise(F.lit(1.0).cast("float"))
     edges = p.select(to_id(F.get("p", F.lit(0))).alias("src"), to_id(F.get("p", F.lit(1))).alias("dst"), w.alias("w"))
     return edges.filter(F.col("src").isNotNull() & F.col("dst").isNotNull() & weight_in_range(F.col("w")))
 
 
-def read_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """nodes: the ids up to the first part that is none"""
-    ids = lines(spark, path).select(F.transform(_parts(), to_id).alias("ids"))
+def read_edges(spark: SparkSession, path: str) -> DataFrame:
+    return parse_edges(lines(spark, path))
+
+
+def parse_sequences(rows: DataFrame) -> DataFrame:
+    """nodes: the ids up to the first part that is none, from lines (value)"""
+    ids = rows.select(F.transform(_parts(), to_id).alias("ids"))
     bad = F.array_position(F.transform("ids", lambda x: x.isNull()), True)
     seq = F.when(bad > 0, F.slice("ids", F.lit(1), (bad - 1).cast("int"))).otherwise(F.col("ids"))
     return ids.select(seq.alias("nodes")).filter(F.size("nodes") > 0)
 
 
-def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
-    """node, pairs(id, w): adjacency, features and samples"""
-    p = lines(spark, path).select(_parts().alias("p"))
+def read_sequences(spark: SparkSession, path: str) -> DataFrame:
+    return parse_sequences(lines(spark, path))
+
+
+def parse_adjacency(rows: DataFrame) -> DataFrame:
+    """node, pairs(id, w): adjacency, features and samples, from lines (value)"""
+    p = rows.select(_parts().alias("p"))
 
     def pair(part: Column) -> Column:
         kv = F.split(part, ":")
         return F.when(F.size(kv) == 2, F.struct(to_id(kv[0]).alias("id"), _number(kv[1]).alias("w")))
 
-    rows = p.select(to_id(F.get("p", F.lit(0))).alias("node"), F.transform(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))), pair).alias("pairs"))
+    found = p.select(to_id(F.get("p", F.lit(0))).alias("node"), F.transform(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))), pair).alias("pairs"))
     good = F.forall("pairs", lambda x: x.isNotNull() & x["id"].isNotNull() & F.coalesce(weight_in_range(x["w"]), F.lit(False)))
-    return rows.filter(F.col("node").isNotNull() & (F.size("pairs") > 0) & good)
+    return found.filter(F.col("node").isNotNull() & (F.size("pairs") > 0) & good)
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """node, labels"""
-    p = lines(spark, path).select(_parts().alias("p"))
+def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
+    return parse_adjacency(lines(spark, path))
+
+
+def parse_labels(rows: DataFrame) -> DataFrame:
+    """node, labels, from lines (value)"""
+    p = rows.select(_parts().alias("p"))
     labels = F.transform(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))), lambda x: F.when(x.rlike("^-?[0-9]+$"), x.cast("int")))
-    rows = p.select(to_id(F.get("p", F.lit(0))).alias("node"), labels.alias("labels"))
-    return rows.filter(F.col("node").isNotNull() & (F.size("labels") > 0) & F.forall("labels", lambda x: x.isNotNull()))
+    found = p.select(to_id(F.get("p", F.lit(0))).alias("node"), labels.alias("labels"))
+    return found.filter(F.col("node").isNotNull() & (F.size("labels") > 0) & F.forall("labels", lambda x: x.isNotNull()))
 
 
-def read_labelled_edges(spark: SparkSession, path: str) -> DataFrame:
-    """src, dst, node, labels"""
-    p = lines(spark, path).select(_parts().alias("p"))
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    return parse_labels(lines(spark, path))
+
+
+def parse_labelled_edges(rows: DataFrame) -> DataFrame:
+    """src, dst, node, labels, from lines (value)"""
+    p = rows.select(_parts().alias("p"))
     labels = F.transform(F.slice("p", F.lit(4), F.greatest(F.size("p") - 3, F.lit(0))), lambda x: F.when(x.rlike("^-?[0-9]+$"), x.cast("int")))
-    rows = p.select(*[to_id(F.get("p", F.lit(k))).alias(c) for k, c in enumerate(("src", "dst", "node"))], labels.alias("labels"))
-    return rows.na.drop(subset=["src", "dst", "node"]).filter((F.size("labels") > 0) & F.forall("labels", lambda x: x.isNotNull()))
+    found = p.select(*[to_id(F.get("p", F.lit(k))).alias(c) for k, c in enumerate(("src", "dst", "node"))], labels.alias("labels"))
+    return found.na.drop(subset=["src", "dst", "node"]).filter((F.size("labels") > 0) & F.forall("labels", lambda x: x.isNotNull()))
+
+
+def read_labelled_edges(spark: SparkSession, path: str) -> DataFrame:
+    return parse_labelled_edges(lines(spark, path))
 
 
 def read_namespaces(spark: SparkSession, path: str) -> DataFrame:
-    """name, ns_id; lines with # or // are comments; a repeated id raises when read."""
+    """name, ns_id; lines with # or // are comments; a repeated id raises when read. An empty path gives one namespace, 0."""
+    if not path:
+        return spark.createDataFrame([(NO_NAMESPACES, 0)], "name string, ns_id int")
     p = lines(spark, path).filter(~F.col("value").rlike("#|//")).select(_parts().alias("p"))
     rows = p.select(p.p[0].alias("name"), p.p[1].cast("int").alias("ns_id"))
     once = rows.groupBy("ns_id").agg(F.count("*").alias("n"), F.first("name").alias("name"))
@@ -113,19 +143,56 @@ def read_frequencies(spark: SparkSession, path: str, namespaces: DataFrame) -> D
     return known.select("node", freq.cast("double").alias("freq"))
 
 
-def read_parameters(spark: SparkSession, path: str) -> DataFrame:
-    """tensor, kind, id (null for dense tensors), vec"""
-    p = lines(spark, path).select(_parts().alias("p"))
+def parse_parameters(rows: DataFrame) -> DataFrame:
+    """tensor, kind, id (null for dense tensors), vec, from lines (value)"""
+    p = rows.select(_parts().alias("p"))
     sparse = F.size("p") == 4
     vec = F.transform(F.split(F.get("p", F.size("p") - 1), ","), lambda x: x.cast("float"))
     return p.select(p.p[0].alias("tensor"), p.p[1].cast("int").alias("kind"), F.when(sparse, to_id(F.get("p", F.lit(2)))).alias("id"), vec.alias("vec"))
 
 
+def read_parameters(spark: SparkSession, path: str) -> DataFrame:
+    return parse_parameters(lines(spark, path))
+
+
 def parse_meta_paths(text: str) -> list[list[int]]:
     """1:2:3,1:4"""
     return [[int(t) for t in path.split(":")] for path in text.split(",") if path]
 
 
+def read_meta_paths(spark: SparkSession, source: str) -> list[list[int]]:
+    """From a file with one path a line, its types separated by blanks, or else from 1:2:3,1:4 itself; few by nature"""
+    if re.fullmatch(r"[0-9:,]*", source):
+        return parse_meta_paths(source)
+    return [[int(t) for t in r.value.split()] for r in lines(spark, source).collect()]
+
+
+def parse_samples(rows: DataFrame) -> DataFrame:
+    """row, y, weight, pairs from lines (row, value) of `label[:weight] id[:value] ...`, where weights and values are 1 if not given.
+
+    A line whose label, weight, id or value is malformed goes, as does one without features.
+    """
+    p = rows.select("row", _parts().alias("p"))
+    head = F.split(p.p[0], ":")
+
+    def pair(part: Column) -> Column:
+        kv = F.split(part, ":")
+        value = F.when(F.size(kv) == 1, F.lit(1.0).cast("float")).when(F.size(kv) == 2, _number(F.get(kv, F.lit(1))))
+        return F.struct(to_id(kv[0]).alias("id"), value.alias("w"))
+
+    weight = F.when(F.size(head) == 1, F.lit(1.0).cast("float")).when(F.size(head) == 2, _number(F.get(head, F.lit(1))))
+    pairs = F.transform(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))), pair)
+    found = p.select("row", _number(head[0]).alias("y"), weight.alias("weight"), pairs.alias("pairs"))
+    good = F.forall("pairs", lambda x: x["id"].isNotNull() & x["w"].isNotNull())
+    return found.filter(F.col("y").isNotNull() & F.col("weight").isNotNull() & (F.size("pairs") > 0) & good)
+
+
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    """The same from files. row numbers the lines by file part and place, which a retried task gives again."""
+    found = spark.read.option("recursiveFileLookup", True).text(path).select(F.monotonically_increasing_id().alias("row"), "value")
+    return parse_samples(found.filter(F.length(F.trim("value")) > 0))
+
+
 def parse_groups(text: str) -> list[tuple[int, int, int]]:
     """group:rows:columns,..."""
     return [tuple(int(x) for x in group.split(":")) for group in text.split(",") if group]

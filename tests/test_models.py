@@ -12,7 +12,8 @@ from tessella.plans import models
 @pytest.mark.parametrize("net, width", [
     (Network((4, 3, 2)), 4), (Network((4, 3), last=True), 4), (Network((4,)), 4), (SageLayer(2, 3), 4),
     (FactorizationMachine(2, 3, (4,)), 8), (FactorizationMachine(2, 3, (4,), joint=True), 8),
-    (Network((4, 3, 2), last=True, sigmoid=True), 4), (Attention(1, 2, 2, 3, (4,)), 8),
+    (Network((4, 3, 2), last=True, sigmoid=True), 4), (Network((4, 3, 2), elu=True), 4),
+    (FactorizationMachine(2, 3, (4,), joint=True, extra=2), 10), (Attention(1, 2, 2, 3, (4,)), 8),
 ])
 def test_gradients(net, width):
     rng = np.random.default_rng(0)
