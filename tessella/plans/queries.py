@@ -15,7 +15,8 @@ from tessella.functions.ids import encode_id, parameter_shard_of, shard_of, sub_
 from tessella.functions.rng import uniform
 from tessella.functions.vectors import dot, l2_normalize
 from tessella.operators import graph, lookups, metrics, neighbors, pairs, sampling, subgraphs, tensors, walks
-from tessella.sources import datasets
+from tessella.plans import embeddings, instances, objectives
+from tessella.sources import datasets, text
 from tessella.streaming import parameters
 
 SEED = 7
@@ -51,6 +52,17 @@ def edges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     )))
 
 
+def directed_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three types: customers to the parts of their odd orders, parts to the customers of even ones, parts to suppliers, weighted by lines up to 10"""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    met = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    c, p = encode_id(F.lit(1), F.col("o_custkey")), encode_id(F.lit(2), F.col("l_partkey"))
+    odd = F.col("o_orderkey") % 2 == 1
+    ends = F.array(F.struct(F.when(odd, c).otherwise(p).alias("src"), F.when(odd, p).otherwise(c).alias("dst")), F.struct(p.alias("src"), encode_id(F.lit(3), F.col("l_suppkey")).alias("dst")))
+    return met.select(F.inline(ends)).groupBy("src", "dst").agg(F.least(F.count("*"), F.lit(10)).cast("double").alias("w"))
+
+
 def features_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").filter("p_size > 5")
     node = encode_id(F.lit(2), F.col("p_partkey"))
@@ -87,6 +99,8 @@ T1, T2, T3, T4 = (f"{t << 48}" for t in (1, 2, 3, 4))
 CP = "cp AS (SELECT o_custkey AS c, l_partkey AS p, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)"
 E = CP + f""", e AS (SELECT {T1} + c AS src, {T2} + p AS dst, CAST(least(n, 10) AS DOUBLE) AS w FROM cp
 UNION ALL SELECT {T2} + p, {T1} + c, CAST(least(n, 10) AS DOUBLE) FROM cp)"""
+DIRECTED = f"""m AS (SELECT {T1} + o_custkey AS c, {T2} + l_partkey AS p, {T3} + l_suppkey AS s, o_orderkey % 2 = 1 AS odd FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+e AS (SELECT src, dst, CAST(least(count(*), 10) AS DOUBLE) AS w FROM (SELECT CASE WHEN odd THEN c ELSE p END AS src, CASE WHEN odd THEN p ELSE c END AS dst FROM m UNION ALL SELECT p, s FROM m) GROUP BY src, dst)"""
 R = E + ", r AS (SELECT src, dst, w, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS k, count(*) OVER (PARTITION BY src) AS deg FROM e)"
 FEATURES = f"""f AS (SELECT {T2} + p_partkey AS node, {T3} + p_size AS fid, CAST(1 AS DOUBLE) AS v FROM part WHERE p_size > 5
 UNION ALL SELECT {T2} + p_partkey, {T4} + p_partkey % 25, p_retailprice / 1000 FROM part WHERE p_size > 5)"""
@@ -161,9 +175,10 @@ def item_feature_lookup(spark, sf_dir):
     return lookups.lookup_items(items, features_of(spark, sf_dir))
 
 
-@query(f"WITH {E} SELECT {T1} + c_custkey AS node, CAST(coalesce(n, 0) AS BIGINT) AS in_degree, CAST(coalesce(n, 0) AS BIGINT) AS out_degree FROM customer LEFT JOIN (SELECT src, count(*) AS n FROM e GROUP BY src) ON src = {T1} + c_custkey")
+@query(f"""WITH {DIRECTED}, t AS (SELECT node, sum(i) AS i, sum(o) AS o FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY node)
+SELECT {T1} + c_custkey AS node, CAST(coalesce(i, 0) AS BIGINT) AS in_degree, CAST(coalesce(o, 0) AS BIGINT) AS out_degree FROM customer LEFT JOIN t ON node = {T1} + c_custkey""")
 def degree_lookup(spark, sf_dir):
-    out = lookups.lookup_degrees(users_of(spark, sf_dir), graph.degrees(edges_of(spark, sf_dir)))
+    out = lookups.lookup_degrees(users_of(spark, sf_dir), graph.degrees(directed_of(spark, sf_dir)))
     return out.select("node", F.col("in_degree").cast("long").alias("in_degree"), F.col("out_degree").cast("long").alias("out_degree"))
 
 
@@ -203,9 +218,10 @@ def degree_cache(spark, sf_dir):
     return neighbors.top_by_degree(graph.degrees(edges_of(spark, sf_dir)), 0.1).select("node", F.col("out_degree").cast("long").alias("out_degree"))
 
 
-@query(f"WITH {E}, {DEGREES} SELECT node FROM dg WHERE (out_degree + 1) / (out_degree + 1) > 0.5")
+@query(f"""WITH {DIRECTED}, t AS (SELECT node, sum(i) AS i, sum(o) AS o FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY node)
+SELECT node FROM t WHERE o > 0 AND (i + 1) / (o + 1) > 0.5""")
 def importance_cache(spark, sf_dir):
-    return neighbors.important(graph.degrees(edges_of(spark, sf_dir)), 0.5).select("node")
+    return neighbors.important(graph.degrees(directed_of(spark, sf_dir)), 0.5).select("node")
 
 
 @query(f"SELECT {T1} + c_custkey AS node FROM customer WHERE {u(f'{T1} + c_custkey')} < 0.3")
@@ -314,11 +330,17 @@ def random_walk_weighted(spark, sf_dir):
     return walks.random_walks(users_of(spark, sf_dir), edges_of(spark, sf_dir), 3, SEED, weighted=True, epochs=2)
 
 
-@query(f"WITH RECURSIVE {R}, {WALK.format(**STARTS, pick=UNIFORM_PICK, length=2)} SELECT * FROM walk")
+def _typed_step(old: str, new: str, step: int, kind: int) -> str:
+    ranked = f"(SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS k, count(*) OVER (PARTITION BY src) AS deg FROM e WHERE dst >> 48 = {kind})"
+    return f"{new} AS (SELECT start, epoch, CAST({step} AS INTEGER) AS step, r.dst AS node FROM {old} w JOIN {ranked} r ON r.src = w.node AND r.k = CAST(floor({u('start', 'epoch', str(step))} * r.deg) AS INTEGER))"
+
+
+@query(f"""WITH {DIRECTED}, w0 AS (SELECT DISTINCT {T1} + c_custkey AS start, CAST(unnest(range(0, 2)) AS INTEGER) AS epoch, CAST(0 AS INTEGER) AS step, {T1} + c_custkey AS node FROM customer),
+{_typed_step("w0", "w1", 1, 2)}, {_typed_step("w1", "w2", 2, 3)} SELECT * FROM w0 UNION ALL SELECT * FROM w1 UNION ALL SELECT * FROM w2""")
 def metapath_walk(spark, sf_dir):
-    """Types 1, 2, 1; in this graph each next node has the type asked for, so the rows are those of a free walk."""
+    """Customers, parts and suppliers, in a graph whose parts also lead back to customers"""
     both = users_of(spark, sf_dir).union(parts_of(spark, sf_dir))
-    return walks.random_walks(both, edges_of(spark, sf_dir), 2, SEED, epochs=2, meta_path=[1, 2])
+    return walks.random_walks(both, directed_of(spark, sf_dir), 2, SEED, epochs=2, meta_path=[1, 2, 3])
 
 
 @query(f"WITH RECURSIVE {R}, {WALK.format(**STARTS, pick=UNIFORM_PICK, length=3)} SELECT start AS src, node AS dst FROM walk WHERE step > 0")
@@ -466,11 +488,11 @@ def topk_inner_product(spark, sf_dir):
     return rounded(metrics.top_inner_products(queries, vectors_of(spark, sf_dir), 10), "score", digits=5)
 
 
-@query(f"WITH {SCORES} SELECT CAST(20 AS INTEGER) AS k, count(*) FILTER (WHERE rank <= 20) AS hit, count(*) AS total, count(*) FILTER (WHERE rank <= 20) / count(*) AS rate FROM rk WHERE item = q")
+@query(f"WITH {SCORES} SELECT CAST(20 AS INTEGER) AS k, count(*) FILTER (WHERE rank <= 20) AS hit, count(*) AS total, count(*) FILTER (WHERE rank <= 20) / count(*) AS rate FROM rk WHERE item = q + 1")
 def hit_rate_at_k(spark, sf_dir):
+    """Whether the vector of the next id is among the 20 best of each vector of class 0"""
     queries = table(spark, sf_dir, "embeddings").filter("label = 0").select(F.col("vec_id").alias("q"), F.col("embedding").cast("array<double>").alias("vec"))
-    own = queries.select("q", F.col("q").alias("item"))
-    return metrics.hit_rate(queries, vectors_of(spark, sf_dir), own, 20)
+    return metrics.hit_rate(queries, vectors_of(spark, sf_dir), queries.select("q", (F.col("q") + 1).alias("item")), 20)
 
 
 @query("""WITH x AS (SELECT 'quality' AS label, quality AS y, CAST(n_chars > 800 AS INTEGER) AS p FROM labels JOIN documents USING (doc_id) UNION ALL SELECT 'toxic', toxic, CAST(n_chars < 300 AS INTEGER) FROM labels JOIN documents USING (doc_id)),
@@ -527,3 +549,206 @@ SELECT node, fid, round((v - m) / d, 6) + 0.0 AS v FROM x JOIN s USING (fid) WHE
 def standardized_features(spark, sf_dir):
     features = part_numbers(spark, sf_dir)
     return rounded(datasets.standardize(features, features.filter("node % 10 < 7")), "v")
+
+
+def _lines(rows: DataFrame, *parts: str) -> DataFrame:
+    return rows.select(F.concat_ws(" ", *[F.col(p).cast("string") for p in parts]).alias("value"))
+
+
+@query("SELECT l_orderkey AS src, l_partkey AS dst, CAST(l_quantity AS DOUBLE) AS w FROM lineitem WHERE l_quantity <= 10")
+def edge_lines(spark, sf_dir):
+    """Weights over 10 are out of range, so their lines go."""
+    lines = _lines(table(spark, sf_dir, "lineitem").withColumn("q", F.col("l_quantity").cast("int")), "l_orderkey", "l_partkey", "q")
+    return text.parse_edges(lines).withColumn("w", F.col("w").cast("double"))
+
+
+@query("SELECT p_partkey AS node, CAST(CASE WHEN p_size > 25 THEN p_size ELSE 1 END AS DOUBLE) AS weight FROM part WHERE p_size <> 7")
+def node_lines(spark, sf_dir):
+    """A node without a weight has 1; a line whose node is no number goes."""
+    part = table(spark, sf_dir, "part").withColumn("id", F.when(F.col("p_size") == 7, "x7").otherwise(F.col("p_partkey").cast("string")))
+    lines = part.select(F.concat_ws(" ", "id", F.when(F.col("p_size") > 25, F.col("p_size").cast("string"))).alias("value"))
+    return text.parse_nodes(lines).withColumn("weight", F.col("weight").cast("double"))
+
+
+@query(f"""WITH {SEQ}, b AS (SELECT user_id, min(i) AS stop FROM s WHERE event_id % 50 = 9 GROUP BY user_id)
+SELECT s.event_id AS node, CAST(i AS INTEGER) AS place FROM s LEFT JOIN b USING (user_id) WHERE i < coalesce(stop, i + 1)""")
+def sequence_lines(spark, sf_dir):
+    """A sequence ends before its first part that is no number."""
+    part = lambda x: F.when(x % 50 == 9, F.lit("?")).otherwise(x.cast("string"))
+    lines = sequences_of(spark, sf_dir).select(F.array_join(F.transform("nodes", part), " ").alias("value"))
+    return text.parse_sequences(lines).select(F.posexplode("nodes").alias("place", "node")).select("node", "place")
+
+
+@query("SELECT l_orderkey AS node, l_partkey AS id, CAST(l_quantity AS DOUBLE) AS w FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 10) AND l_quantity < 10 AND l_partkey % 3 = 0")
+def adjacency_lines(spark, sf_dir):
+    """A line with a malformed pair goes as a whole."""
+    lines = table(spark, sf_dir, "lineitem").filter("l_quantity <= 10 and (l_partkey % 3 = 0 or l_quantity = 10)")
+    pair = F.concat_ws(":", "l_partkey", F.when(F.col("l_quantity") == 10, "ten").otherwise(F.col("l_quantity").cast("int").cast("string")))
+    value = F.concat_ws(" ", F.col("l_orderkey"), F.array_join(F.collect_list(pair), " "))
+    parsed = text.parse_adjacency(lines.groupBy("l_orderkey").agg(value.alias("value")))
+    return parsed.select("node", F.inline("pairs")).withColumn("w", F.col("w").cast("double"))
+
+
+@query("SELECT doc_id AS src, doc_id + 1 AS dst, doc_id AS node, quality, toxic FROM labels")
+def labelled_edge_lines(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").withColumn("next", F.col("doc_id") + 1).withColumn("own", F.col("doc_id"))
+    parsed = text.parse_labelled_edges(_lines(rows, "doc_id", "next", "own", "quality", "toxic"))
+    return parsed.select("src", "dst", "node", F.col("labels")[0].alias("quality"), F.col("labels")[1].alias("toxic"))
+
+
+@query("SELECT doc_id AS node, quality, toxic FROM labels")
+def label_lines(spark, sf_dir):
+    parsed = text.parse_labels(_lines(table(spark, sf_dir, "labels"), "doc_id", "quality", "toxic"))
+    return parsed.select("node", F.col("labels")[0].alias("quality"), F.col("labels")[1].alias("toxic"))
+
+
+@query("""SELECT o_orderkey AS "row", CAST(o_orderkey % 2 AS DOUBLE) AS y, CAST(2 AS DOUBLE) AS weight, l_partkey AS id, CAST(CASE WHEN l_linenumber = 1 THEN 1 ELSE l_quantity END AS DOUBLE) AS w
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50)""")
+def sample_lines(spark, sf_dir):
+    """Ranking samples: a label with a weight, features with and without values; a malformed value drops the line."""
+    value = F.when(F.col("l_quantity") == 50, "fifty").otherwise(F.col("l_quantity").cast("int").cast("string"))
+    pair = F.concat_ws(":", "l_partkey", F.when((F.col("l_linenumber") > 1) | (F.col("l_quantity") == 50), value))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("row")).agg(
+        F.concat_ws(" ", F.concat((F.col("row") % 2).cast("string"), F.lit(":2")), F.array_join(F.collect_list(pair), " ")).alias("value"))
+    parsed = text.parse_samples(lines).select("row", "y", "weight", F.inline("pairs"))
+    return parsed.select("row", F.col("y").cast("double").alias("y"), F.col("weight").cast("double").alias("weight"), "id", F.col("w").cast("double").alias("w"))
+
+
+@query("SELECT concat_ws(' ', vec_id, label, vec_id % 5) AS value FROM embeddings")
+def prediction_lines(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), F.array(F.col("label").cast("long"), F.col("vec_id") % 5).alias("vec"))
+    return text.format_predictions(e)
+
+
+@query(f"WITH {SEQ} SELECT string_agg(event_id, ' ' ORDER BY i) AS value FROM s GROUP BY user_id")
+def sequence_dump(spark, sf_dir):
+    return text.format_sequences(sequences_of(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {R}, {WALK.format(**STARTS, pick=UNIFORM_PICK, length=3)} SELECT string_agg(node, ' ' ORDER BY step) AS value FROM walk GROUP BY start, epoch HAVING count(*) > 1")
+def walk_sequences_dump(spark, sf_dir):
+    return text.format_sequences(walks.sequences(walks.random_walks(users_of(spark, sf_dir), edges_of(spark, sf_dir), 3, SEED, epochs=2)))
+
+
+@query(f"WITH {EMB} SELECT label AS \"row\", k, round(sum(x * (1.0 + id % 3)), 5) AS z FROM em GROUP BY label, k")
+def embedding_lookup(spark, sf_dir):
+    found = _matrix(spark, sf_dir).select("row", F.col("col").alias("fid"), F.col("x").alias("v"))
+    return _long(lookups.embedding_lookup(found, vectors_of(spark, sf_dir), DIM))
+
+
+@query(f"""WITH g AS (SELECT unnest(range(0, 2)) AS g), r AS (SELECT DISTINCT label FROM embeddings), em AS (SELECT label, vec_id % 3 AS g, k, CAST(embedding[k] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 5)) AS k) WHERE vec_id % 3 < 2 OR label > 2)
+SELECT r.label AS "row", CAST(g.g * 4 + kk.k AS BIGINT) AS k, round(coalesce(sum(x), 0.0), 5) AS z FROM r, g, (SELECT unnest(range(1, 5)) AS k) kk LEFT JOIN em ON em.label = r.label AND em.g = g.g AND em.k = kk.k GROUP BY 1, 2""")
+def group_embedding_lookup(spark, sf_dir):
+    """Features of types 0 and 1 side by side; those of type 2 are of no group."""
+    e = table(spark, sf_dir, "embeddings").withColumn("fid", encode_id((F.col("vec_id") % 3).cast("int"), F.col("vec_id")))
+    weights = e.select(F.col("fid").alias("id"), F.slice(F.col("embedding"), 1, 4).cast("array<double>").alias("vec"))
+    return _long(lookups.group_embedding_lookup(e.select(F.col("label").alias("row"), "fid", F.lit(1.0).alias("v")), weights, [0, 1], 4))
+
+
+@query(f"WITH {EMB}, n AS (SELECT label, vec_id % 10 AS c, count(*) AS n FROM embeddings GROUP BY 1, 2) SELECT n.label AS \"row\", k, round(sum(x * n), 5) AS z FROM n JOIN em ON em.id = n.c GROUP BY n.label, k")
+def hidden_lookup(spark, sf_dir):
+    """Columns count modulo 10."""
+    x = table(spark, sf_dir, "embeddings").select(F.col("label").alias("row"), F.col("vec_id").alias("col"), F.lit(1.0).alias("x"))
+    return _long(tensors.hidden_lookup(x, vectors_of(spark, sf_dir).filter("id < 10"), 10, DIM))
+
+
+@query(f"SELECT {T2} + p_partkey AS node, CASE WHEN p_size > 25 THEN dense_rank() OVER (PARTITION BY p_size > 25 ORDER BY p_partkey) - 1 ELSE -1 END AS idx FROM part")
+def index_lookup(spark, sf_dir):
+    known = graph.dense_index(table(spark, sf_dir, "part").filter("p_size > 25").select(encode_id(F.lit(2), F.col("p_partkey")).alias("node")))
+    return lookups.lookup_index(parts_of(spark, sf_dir), known)
+
+
+@query(f"SELECT {T1} + c_custkey AS node, CAST(floor((row_number() OVER (ORDER BY c_custkey) - 1) / 64) AS BIGINT) AS batch FROM customer")
+def mini_batches(spark, sf_dir):
+    return pairs.batches(users_of(spark, sf_dir), 64)
+
+
+@query(f"WITH {DIRECTED} SELECT src AS node, dst AS id, CAST(row_number() OVER (PARTITION BY src ORDER BY dst >> 48, w, dst) - 1 AS INTEGER) AS place FROM e")
+def neighbors_by_weight(spark, sf_dir):
+    adj = graph.adjacency(directed_of(spark, sf_dir)).select("node", pairs.sort_pairs(F.col("pairs")).alias("pairs"))
+    return adj.select("node", F.posexplode("pairs").alias("place", "pair")).select("node", F.col("pair.id").alias("id"), "place")
+
+
+@query(f"WITH {FEATURES} SELECT node, fid, round(v, 6) AS v FROM f WHERE v <= 1.2")
+def bounded_features(spark, sf_dir):
+    return rounded(pairs.bounded_features(features_of(spark, sf_dir), 1.2), "v")
+
+
+@query(f"WITH {DIRECTED}, {FEATURES} SELECT DISTINCT node FROM f WHERE node IN (SELECT dst FROM e WHERE w > 1)")
+def member_nodes(spark, sf_dir):
+    hot = directed_of(spark, sf_dir).filter("w > 1").select(F.col("dst").alias("node"))
+    return pairs.members(features_of(spark, sf_dir).select("node").distinct(), hot)
+
+
+@query(f"SELECT o_orderkey AS \"row\", {T1} + o_custkey AS node FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+def user_of_rows(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    parts = lines.select(F.col("o_orderkey").alias("row"), encode_id(F.lit(2), F.col("l_partkey")).alias("fid"))
+    samples = parts.union(lines.select("o_orderkey", encode_id(F.lit(1), F.col("o_custkey"))).distinct())
+    return instances.node_of_rows(samples, 1)
+
+
+@query(f"SELECT {T1} + c_custkey AS node, CASE WHEN {u(f'{T1} + c_custkey')} < 0.7 THEN 'train' ELSE 'test' END AS stage FROM customer")
+def train_split(spark, sf_dir):
+    return datasets.train_split(users_of(spark, sf_dir), 0.7, SEED)
+
+
+@query(f"WITH {DIRECTED} SELECT DISTINCT * FROM (SELECT src, dst, CAST(1 AS DOUBLE) AS w FROM e UNION ALL SELECT dst, src, 1 FROM e)")
+def undirected_links(spark, sf_dir):
+    return datasets.undirected(directed_of(spark, sf_dir))
+
+
+NEXT = """p AS (SELECT a.vec_id AS id, s, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda t: CAST(t[1] AS DOUBLE) * t[2])) AS z
+FROM embeddings a, (SELECT unnest(range(1, 3)) AS s) JOIN embeddings b ON b.vec_id = a.vec_id + s)"""
+
+
+def _next_scores(spark, sf_dir) -> DataFrame:
+    """id, s, z, y: inner products with the vectors of the next id, which are positives, and of the one after it"""
+    vectors = vectors_of(spark, sf_dir)
+    met = vectors.select(F.col("id").alias("a"), F.explode(F.array(F.lit(1), F.lit(2))).alias("s")).withColumn("b", F.col("a") + F.col("s"))
+    return tensors.batch_dot(met, vectors, vectors).select(F.col("a").alias("id"), F.col("s").cast("long").alias("s"), "z", (2 - F.col("s")).alias("y"))
+
+
+@query(f"""WITH {NEXT}, a AS (SELECT id, z FROM p WHERE s = 1), b AS (SELECT id, z FROM p WHERE s = 2), l AS (SELECT avg((1 - a.z + b.z) ** 2) AS loss FROM a, b),
+g AS (SELECT a.id, CAST(1 AS BIGINT) AS s, avg(-2 * (1 - a.z + b.z)) / (SELECT count(*) FROM a) AS g FROM a, b GROUP BY a.id UNION ALL SELECT b.id, 2, avg(2 * (1 - a.z + b.z)) / (SELECT count(*) FROM b) FROM a, b GROUP BY b.id)
+SELECT id, s, round(1e4 * g, 4) AS g, round(loss, 4) AS loss FROM g, l""")
+def pairwise_loss(spark, sf_dir):
+    """Every positive against every negative, from sums; the SQL makes all the pairs."""
+    found = objectives.pairwise_square(_next_scores(spark, sf_dir))
+    return found.select("id", "s", F.round(1e4 * F.col("g"), 4).alias("g"), F.round("loss", 4).alias("loss"))
+
+
+@query(f"WITH {NEXT}, q AS (SELECT id, s, 1 / (1 + exp(-z)) AS p FROM p) SELECT id, s, round(CASE WHEN p >= 0.69 OR p <= 0.31 THEN -p * ln(p) ELSE 0.0 END, 6) + 0.0 AS loss FROM q")
+def self_training_loss(spark, sf_dir):
+    found = _next_scores(spark, sf_dir)
+    return found.select("id", "s", (F.round(objectives.self_training(F.col("z"))[0], 6) + 0.0).alias("loss"))
+
+
+@query("""WITH v AS (SELECT vec_id AS id, vec_id // 32 AS batch, list_transform(embedding, lambda t: CAST(t AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda q: CAST(q AS DOUBLE) * q)))) AS l FROM embeddings),
+w AS (SELECT a.id, a.batch, a.l, b.l AS r FROM v a JOIN v b ON b.id = a.id + 1),
+c AS (SELECT a.id, a.batch, a.id = b.id AS own, exp(list_sum(list_transform(list_zip(a.l, b.r), lambda t: t[1] * t[2])) / 0.5) AS x, exp(list_sum(list_transform(list_zip(a.l, b.l), lambda t: t[1] * t[2])) / 0.5) AS l,
+exp(list_sum(list_transform(list_zip(a.r, b.r), lambda t: t[1] * t[2])) / 0.5) AS r FROM w a JOIN w b ON a.batch = b.batch),
+s AS (SELECT id, batch, sum(x) AS x, sum(x) FILTER (WHERE own) AS d, coalesce(sum(l) FILTER (WHERE NOT own), 0) AS l, coalesce(sum(r) FILTER (WHERE NOT own), 0) AS r FROM c GROUP BY id, batch)
+SELECT id, batch, round(-ln(d / (x + l) + d / (x + r)), 5) AS loss FROM s""")
+def contrastive_loss(spark, sf_dir):
+    """A vector and that of the next id are two views of one; batches of 32."""
+    vectors = vectors_of(spark, sf_dir)
+    rows = vectors.join(vectors.select((F.col("id") - 1).alias("id"), F.col("vec").alias("r")), "id")
+    rows = rows.select(F.col("id").alias("row"), F.floor(F.col("id") / 32).alias("batch"), F.col("vec").alias("l"), "r")
+    return objectives.contrastive(rows, 0.5).select(F.col("row").alias("id"), "batch", F.round("loss", 5).alias("loss"))
+
+
+@query(f"""WITH {NEXT} SELECT round(avg(greatest(-v, 0.0) + ln(1 + exp(-abs(v)))), 6) AS loss FROM (SELECT CASE WHEN s = 1 THEN z ELSE -z END AS v FROM p)""")
+def skip_gram_loss(spark, sf_dir):
+    """The cross-entropy of pairs with label 1 and 0"""
+    found = _next_scores(spark, sf_dir)
+    return found.agg(F.round(F.avg(objectives.cross_entropy(F.col("z"), F.col("y"))), 6).alias("loss"))
+
+
+@query(f"""WITH {NEXT}, g AS (SELECT id AS src, id + s AS dst, CASE WHEN s = 1 THEN 1 ELSE 0 END - 1 / (1 + exp(-z)) AS g FROM p), {EMB},
+d AS (SELECT src AS id, k, avg(g * x) AS d FROM g JOIN em ON em.id = dst GROUP BY src, k) SELECT em.id, k, round(x + 0.5 * coalesce(d, 0.0), 5) + 0.0 AS z FROM em LEFT JOIN d USING (id, k)""")
+def skip_gram_step(spark, sf_dir):
+    """The input table after one step"""
+    vectors = vectors_of(spark, sf_dir)
+    met = _next_scores(spark, sf_dir).select(F.col("id").alias("src"), (F.col("id") + F.col("s")).alias("dst"), "y")
+    return _long(embeddings.step(met, vectors, vectors, DIM, 0.5)[0].withColumnRenamed("id", "row")).withColumnRenamed("row", "id")
