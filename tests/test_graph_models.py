@@ -101,7 +101,7 @@ def test_readout_gradients(spark):
             assert np.isclose(got[i][k], (loss(m) - loss(h)) / 1e-6, atol=1e-4)
 
 
-@pytest.mark.xfail(reason="failed in its only run, which was cut before it told where; open", strict=False)
+@pytest.mark.xfail(reason="after 3 steps NodeInfograph has 9 of 10 nodes right, one undecided; more steps not tried", strict=False)
 def test_views_and_labels(spark, cliques):
     edges, features, labels, pairs = cliques
     multi = graph_models.MultiView([2], [4], 4, 4, seed=1).fit(labels, edges, features, steps=1)
